@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.knn import nearest
 from ledgerlens.llm.lines import repeated_lines, without_lines
 from ledgerlens.llm.neardup import NearDuplicates
+from ledgerlens.llm.quality import text_quality
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.runtime import read, stored
 
@@ -33,6 +34,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(read(spark, d, "chunks"), read(spark, d, "common_words"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_quality(spark, d).filter(F.col("kind") != "prose").select("chunk_id")
+
+
 def _near_duplicates(spark: SparkSession, d: str) -> NearDuplicates:
     return NearDuplicates(read(spark, d, "chunks"), size=3, threshold=0.60, min_members=40)
 
@@ -55,7 +64,7 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_cleaned)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
