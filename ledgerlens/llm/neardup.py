@@ -24,6 +24,10 @@ SHINGLE, THRESHOLD, MIN_MEMBERS = 5, 0.8, 1
 PAIRED_COPIES = 1000
 #: Up to this many candidate rows (16 bytes each) are broadcast as a filter; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A pair at the threshold is missed with this probability at most (less for more similar ones), by so many bands.
+MISS, MAX_BANDS = 3e-3, 72
+#: Coordinates of which one bit each is kept, to drop chance candidates before their texts are fetched.
+BITS = 128
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -83,12 +87,22 @@ def sketch(members: np.ndarray, bins: int) -> np.ndarray:
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
-    """(bands, rows): rows as many as keep the chance to miss a pair at the threshold under 1e-5 with 48 bands at most."""
-    for rows in (6, 5, 4, 3, 2, 1):
-        need = int(np.ceil(np.log(1e-5) / np.log1p(-(threshold**rows)))) if threshold < 1 else 1
-        if need <= 54:
+    """(bands, rows): of at most MAX_BANDS bands the longest rows that miss a pair at the threshold with MISS at most.
+
+    Long rows matter more than few bands: pairs of little similarity meet with its rows-th power,
+    and their number grows with the square of the collection.
+    """
+    for rows in range(12, 0, -1):
+        need = 1 if threshold >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-(threshold**rows))))
+        if need <= MAX_BANDS:
             return need, rows
-    return 54, 1
+    return MAX_BANDS, 1
+
+
+def least_agreement(threshold: float) -> int:
+    """Of BITS one-bit coordinates, how many agree at least at the threshold, but for four standard deviations."""
+    p = (1 + threshold) / 2
+    return int(np.floor(BITS * p - 4 * np.sqrt(BITS * p * (1 - p))))
 
 
 def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int] | None) -> DataFrame:
@@ -98,19 +112,21 @@ def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int]
         hashes = WordHashes()
         bands, rows = bins
         for pdf in batches:
-            ids, sigs, keys = [], [], []
+            ids, sigs, keys, bits = [], [], [], []
             for cid, text in zip(pdf["chunk_id"], pdf["content"]):
                 s = shingles(text, size, hashes)
                 if len(s) < max(1, min_members):
                     continue
-                k = sketch(s, bands * rows).reshape(bands, rows)
+                k = sketch(s, max(BITS, bands * rows))
+                bits.append(np.packbits((k[:BITS] >> np.uint64(7)).astype(np.uint8) & 1).view(np.int64))
+                k = k[: bands * rows].reshape(bands, rows)
                 band = mix(np.arange(bands, dtype=np.uint64), 77)
                 for r in range(rows):
                     band = mix(band ^ k[:, r], r)
                 ids.append(cid)
                 sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 keys.append(band.view(np.int64))
-            yield pd.DataFrame({"chunk_id": pd.Series(ids, dtype=str), "sig": pd.Series(sigs, dtype=str), "bands": pd.Series(keys, dtype=object)})
+            yield pd.DataFrame({"chunk_id": pd.Series(ids, dtype=str), "sig": pd.Series(sigs, dtype=str), "bands": pd.Series(keys, dtype=object), "bits": pd.Series(bits, dtype=object)})
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -120,7 +136,7 @@ def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int]
 
     rows = chunks.select("chunk_id", "content").filter(F.col("chunk_id").isNotNull() & (F.length("content") > 2 * size - 2))
     if bins:
-        return rows.mapInPandas(sketched, "chunk_id string, sig string, bands array<bigint>")
+        return rows.mapInPandas(sketched, "chunk_id string, sig string, bands array<bigint>, bits array<bigint>")
     return rows.mapInPandas(listed, "chunk_id string, members array<bigint>")
 
 
@@ -136,12 +152,16 @@ class NearDuplicates:
     def __init__(self, chunks: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, min_members: int = MIN_MEMBERS):
         bins = bands_for(threshold)
         sketched = stored(_sets(chunks, size, min_members, bins), "sketches")
-        classes = stored(sketched.groupBy("sig").agg(F.min("chunk_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-        self.members = sketched.select("chunk_id", "sig").distinct().join(classes.select("sig", "rep"), "sig").select("chunk_id", "rep")
-        keyed = classes.select(F.xxhash64("rep").alias("id"), F.explode("bands").alias("band"))
+        first = sketched.groupBy("sig").agg(F.min("chunk_id").alias("rep"), F.first("bands").alias("bands"))
+        reps = sketched.groupBy("sig").agg(F.min("chunk_id").alias("rep"), F.first("bits").alias("bits"))
+        self.members = sketched.select("chunk_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").select("chunk_id", "rep")
+        keyed = first.select(F.xxhash64("rep").alias("id"), F.explode("bands").alias("band"))
         twin = keyed.select(F.col("id").alias("other"), "band")
         pairs = keyed.join(twin, "band").filter(F.col("id") < F.col("other")).select("id", "other").distinct()
-        pairs = stored(pairs, "candidates")
+        bits = reps.select(F.xxhash64("rep").alias("id"), F.col("bits")[0].alias("p"), F.col("bits")[1].alias("q"))
+        pairs = pairs.join(bits, "id").join(bits.toDF("other", "r", "s"), "other")
+        agree = F.lit(BITS) - F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) - F.bit_count(F.col("q").bitwiseXOR(F.col("s")))
+        pairs = stored(pairs.filter(agree >= least_agreement(threshold)).select("id", "other"), "candidates")
         ids = pairs.select("id").union(pairs.select("other")).distinct()
         if pairs.count() <= BROADCAST_IDS // 2:
             ids = F.broadcast(ids)
