@@ -12,6 +12,7 @@ from ledgerlens.llm.lines import repeated_lines, without_lines
 from ledgerlens.llm.neardup import NearDuplicates
 from ledgerlens.llm.quality import text_quality
 from ledgerlens.llm.split import split_oversized
+from ledgerlens.llm.truncation import truncated, truncation_by_source
 from ledgerlens.runtime import read, stored
 
 
@@ -63,8 +64,17 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(chunks, stored(repeated_lines(chunks), "located"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(read(spark, d, "documents")).filter("is_cut").select("doc_id")
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents")
+    return truncation_by_source(documents, truncated(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_by_source)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
