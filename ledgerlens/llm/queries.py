@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.knn import nearest
 from ledgerlens.llm.lines import repeated_lines, without_lines
+from ledgerlens.llm.mixing import mix_sources, reached_shares
 from ledgerlens.llm.neardup import NearDuplicates
+from ledgerlens.llm.packing import fill_report, pack
 from ledgerlens.llm.quality import text_quality
 from ledgerlens.llm.split import split_oversized
+from ledgerlens.llm.tokens import token_counts
 from ledgerlens.llm.truncation import truncated, truncation_by_source
 from ledgerlens.runtime import read, stored
 
@@ -64,6 +67,24 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(chunks, stored(repeated_lines(chunks), "located"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = stored(token_counts(read(spark, d, "documents")), "tokens")
+    return pack(sizes, read(spark, d, "context_windows"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p6_containers(spark, d), read(spark, d, "context_windows"))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(read(spark, d, "documents"), keep=("source",))
+    return mix_sources(sizes, read(spark, d, "source_mix"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return reached_shares(stored(p7_selection(spark, d), "selection"), read(spark, d, "source_mix"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(read(spark, d, "documents")).filter("is_cut").select("doc_id")
 
@@ -74,7 +95,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_by_source)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
