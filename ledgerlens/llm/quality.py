@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,42 +126,63 @@ def units(lines: list[str]) -> int:
     return len(lines) - broken if width >= 30 and broken >= 0.6 * (len(lines) - 1) else len(lines)
 
 
-def features(lines: list[str], common: dict[str, frozenset]) -> list[float]:
+class WordFacts(dict):
+    """word -> its facts as fields of one integer, so that a sum over words adds all of them up at once.
+
+    Fields of FIELD bits: characters, symbols, has a digit, is long, is key and value, is a letter, is common
+    in each language.
+    """
+
+    FIELD = 32
+
+    def __init__(self, common: dict[str, frozenset]):
+        self.common = list(common.values())
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        bare = word.strip(".,;:!?\"'()[]|").lower()
+        facts = [len(word), len(_SYMBOL.findall(word)), bool(_DIGIT.search(word)), len(word) > 18, bool(_PAIR.match(word)), len(word) == 1 and word.isalpha()]
+        facts += [bare in c for c in self.common]
+        value = self[word] = sum(int(v) << (self.FIELD * i) for i, v in enumerate(facts))
+        return value
+
+    def totals(self, words: list[str]) -> list[int]:
+        total = sum(map(self.__getitem__, words))
+        return [(total >> (self.FIELD * i)) & ((1 << self.FIELD) - 1) for i in range(6 + len(self.common))]
+
+
+def features(lines: list[str], facts: WordFacts) -> list[float]:
     """The statistics of one segment, in the order of FEATURES."""
     text = "\n".join(lines)
     words = words_of(text)
     n = max(1, len(words))
-    bare = [w.strip(".,;:!?\"'()[]|").lower() for w in words]
-    best = max((sum(w in c for w in bare) for c in common.values()), default=0)
-    chars = max(1, sum(map(len, words)))
-    pairs = set(zip(words, words[1:]))
+    chars, symbols, digits, long_, pairs, letters, *common = facts.totals(words)
     k = len(lines)
     return [
         float(np.log1p(n / units(lines))),
         min(chars / n, 20.0),
-        len(_SYMBOL.findall(text)) / chars,
-        sum(1 for w in words if _DIGIT.search(w)) / n,
-        best / n,
+        symbols / max(1, chars),
+        digits / n,
+        max(common, default=0) / n,
         sum(1 for x in lines if _ENDS.search(x)) / k,
-        len(pairs) / max(1, len(words) - 1),
+        len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
         sum(1 for x in lines if _MARK.match(x)) / k,
         min(2.0, len(_CELL.findall(text)) / n),
         min(2.0, len(_GAP.findall(text)) / n),
-        sum(1 for w in words if len(w) > 18) / n,
-        sum(1 for w in words if _PAIR.match(w)) / n,
-        sum(1 for w in words if len(w) == 1 and w.isalpha()) / n,
+        long_ / n,
+        pairs / n,
+        letters / n,
     ]
 
 
-def statistics(text: str, common: dict[str, frozenset]) -> tuple[int, float, float, float, float]:
+def statistics(text: str, facts: WordFacts) -> tuple[int, float, float, float, float]:
     """Word count, mean word length, symbol share, share of lines that end in punctuation, share of common words."""
     words, lines = words_of(text), [x for x in text.split("\n") if x.strip()]
     if not words:
         return 0, 0.0, 0.0, 0.0, 0.0
-    chars = sum(map(len, words))
-    bare = [w.strip(".,;:!?\"'()[]|").lower() for w in words]
-    best = max((sum(w in c for w in bare) for c in common.values()), default=0)
-    return len(words), chars / len(words), len(_SYMBOL.findall(text)) / chars, sum(1 for x in lines if _ENDS.search(x)) / len(lines), best / len(words)
+    chars, symbols, _, _, _, _, *common = facts.totals(words)
+    return len(words), chars / len(words), symbols / chars, sum(1 for x in lines if _ENDS.search(x)) / len(lines), max(common, default=0) / len(words)
 
 
 def _common(common_words: DataFrame) -> dict[str, frozenset]:
@@ -175,8 +197,8 @@ def _common(common_words: DataFrame) -> dict[str, frozenset]:
 def _log_density(x: np.ndarray, means: np.ndarray, chols: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(means)))
     for c, (m, low) in enumerate(zip(means, chols)):
-        z = np.linalg.solve(low, (x - m).T)
-        out[:, c] = -0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+        z = (x - m) @ np.linalg.inv(low).T
+        out[:, c] = -0.5 * np.einsum("nd,nd->n", z, z) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
     return out
 
 
@@ -197,13 +219,15 @@ class Mixture:
     def __init__(self, components: int = COMPONENTS, rounds: int = ROUNDS, ridge: float = RIDGE, seed: int = 5):
         self.components, self.rounds, self.ridge, self.seed = components, rounds, ridge, seed
 
-    def fit(self, rows: DataFrame, column: str = "x") -> Mixture:
+    def fit(self, rows: DataFrame, column: str = "xs") -> Mixture:
+        """column holds lists of rows."""
         d = len(FEATURES)
-        moments = rows.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+        each = rows.select(F.explode(column).alias("x"))
+        moments = each.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
         self.mean, self.scale = np.zeros(d), np.ones(d)
         for i, m, s in moments:
             self.mean[i], self.scale[i] = m, max(s or 0.0, 1e-3)
-        start = rows.select(column).orderBy(F.xxhash64(column)).limit(START_ROWS).toPandas()[column]
+        start = each.orderBy(F.xxhash64("x")).limit(START_ROWS).toPandas()["x"]
         if not len(start):
             self.weights, self.means, self.chols = np.ones(1), np.zeros((1, d)), np.eye(d)[None]
             return self
@@ -236,20 +260,25 @@ class Mixture:
     def _pass(self, rows: DataFrame, column: str) -> np.ndarray:
         mean, scale, weights, means, chols = self.mean, self.scale, self.weights, self.means, self.chols
 
-        def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.clip((np.stack(pdf[column].to_numpy()) - mean) / scale, -8, 8)
-                r, ll = responsibilities(x, weights, means, chols)
-                outer = np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)
-                part = np.concatenate([np.concatenate([r.sum(axis=0)[:, None], r.T @ x, outer.reshape(len(means), -1)], axis=1).ravel(), [ll.sum(), len(x)]])
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
-
-        got = rows.select(column).mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        d = len(mean)
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                flat = batch.column(0).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                for at in range(0, len(flat), 8192):  # stays in the processor's cache
+                    x = np.clip((flat[at : at + 8192] - mean) / scale, -8, 8)
+                    r, ll = responsibilities(x, weights, means, chols)
+                    part = np.empty((len(means), 1 + d + d * d))
+                    part[:, 0] = r.sum(axis=0)
+                    part[:, 1 : 1 + d] = r.T @ x
+                    for c in range(len(means)):
+                        part[c, 1 + d :] = ((x * r[:, c : c + 1]).T @ x).ravel()
+                    total = total + np.concatenate([part.ravel(), [ll.sum(), len(x)]])
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        got = rows.select(column).mapInArrow(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         out = np.zeros(len(means) * (1 + len(mean) + len(mean) ** 2) + 2)
         out[got["i"].to_numpy()] = got["v"].to_numpy()
         return out
@@ -299,20 +328,17 @@ def text_quality(chunks: DataFrame, common_words: DataFrame, min_words: int = 20
     ledger.update(chunks)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        facts = WordFacts(common)
         for pdf in batches:
             rows = []
             for cid, content, text in zip(pdf["chunk_id"], pdf["content"], pdf["text"]):
-                stats = statistics(content, common)
                 parts = segments(text)
-                if not parts:
-                    rows.append((cid, *stats, [], []))
-                    continue
-                rows.append((cid, *stats, [len(words_of("\n".join(p))) for p in parts], [features(p, common) for p in parts]))
+                rows.append((cid, *statistics(content, facts), [len(words_of("\n".join(p))) for p in parts], [features(p, facts) for p in parts]))
             yield pd.DataFrame(rows, columns=["chunk_id", "n_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_words", "sizes", "xs"])
 
     shape_ = "chunk_id string, n_words int, mean_word_length double, symbol_share double, punctuated_lines double, common_words double, sizes array<int>, xs array<array<double>>"
     measured = stored(_without_repeats(chunks, ledger).mapInPandas(measure, shape_).dropDuplicates(["chunk_id"]), "measured")
-    mixture = Mixture().fit(measured.select(F.explode("xs").alias("x"))).name_components([(c, features([x for x in t.split("\n") if x.strip()], common)) for c, t in EXAMPLES])
+    mixture = Mixture().fit(measured).name_components([(c, features([x for x in t.split("\n") if x.strip()], WordFacts(common))) for c, t in EXAMPLES])
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
