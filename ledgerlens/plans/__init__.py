@@ -1 +1,2 @@
 
+"""Registered queries; importing this package's modules fills the registry."""
