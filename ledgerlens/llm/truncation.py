@@ -28,10 +28,12 @@ KAPPA = 4.0
 #: The contexts that end some text, as a bit map of fixed size: others need not be counted.
 MAP_BITS = 24
 #: Characters handled at a time.
-STRIDE = 1_000_000
+STRIDE = 150_000
+#: Hashes a task holds before it counts them.
+HELD = 3_000_000
 #: Contexts of the shortest level fall into so many cells.
 SHORT_CELLS = 1 << 18
-ROUNDS = 3
+ROUNDS = 2
 
 _BREAK = "\n\n\x01 \x01 \x01 \x01 \x01\n\n"
 _MARKS = re.compile("(\\s*(…|\\.\\.\\.|\\[\\s*(\\.\\.\\.|…|truncated|cut|more|tronqué|gekürzt|cortado|truncado)\\s*\\]|\\(\\s*(\\.\\.\\.|…|truncated|more|cont\\.?)\\s*\\)|<\\s*(truncated|cut|/?[a-z]{0,8})\\s*>?|&[a-z#0-9]{0,6};?|�+))\\s*$", re.IGNORECASE)
@@ -46,7 +48,7 @@ def bare_end(text: str) -> tuple[str, int]:
     body = text.rstrip()
     tail = text[len(body) :]
     kind = LINES if "\n" in tail else SPACE if tail else NONE
-    found = _MARKS.search(body)
+    found = _MARKS.search(body, max(0, len(body) - 60))
     if found:
         mark = found.group(1).strip()
         kind = BROKEN if "�" in mark else ELLIPSIS if mark in ("…", "...") else BRACKET
@@ -56,7 +58,7 @@ def bare_end(text: str) -> tuple[str, int]:
 
 def last_row(text: str) -> int:
     """What the last line's cells say, against the lines right above it."""
-    lines = text[-6000:].split("\n")
+    lines = text.rsplit("\n", 7)
     if len(lines) < 3:
         return NO_TABLE
     last, above = lines[-1], [x for x in lines[-7:-1]]
@@ -81,6 +83,11 @@ def last_row(text: str) -> int:
     return NO_TABLE
 
 
+def long_hash(h: np.ndarray) -> np.ndarray:
+    """63 bits, never below SHORT_CELLS, so that hashes of the shortest level stand apart."""
+    return (h >> np.uint64(1)) | np.uint64(1 << 20)
+
+
 def contexts(text: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """For each non-white character: its place, the hashes of the contexts that end with it, per level, and how the text goes on.
 
@@ -137,8 +144,8 @@ def contexts(text: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         own = mix(own, 13)
         full = mix(prefix * np.uint64(4) + gap[word], 15)
         out = [own >> np.uint64(64 - 18)]
-        out += [(own ^ mix(back[k], 20 + k)[word]) | np.uint64(1 << 20) for k in range(4)]
-        out += [(full ^ mix(back[k], 30 + k)[word]) | np.uint64(1 << 20) for k in (1, 2)]
+        out += [long_hash(own ^ mix(back[k], 20 + k)[word]) for k in range(4)]
+        out += [long_hash(full ^ mix(back[k], 30 + k)[word]) for k in (1, 2)]
     goes = np.zeros(len(at), np.int8)
     ends = np.zeros(len(start), np.int8)
     ends[:-1] = 1 + np.minimum(newlines[1:], 2)
@@ -177,19 +184,23 @@ def unwrapped(text: str) -> str:
 def _tails(documents: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, t, lang, source in zip(pdf["k"], pdf["t"], pdf["lang"], pdf["source"]):
-                body, debris = bare_end(t)
-                if not body:
-                    continue
-                # enough words before the end for every level; the break stands for the text's beginning
-                flat = unwrapped(body)
-                end = flat[-400:]
-                levels = contexts(_BREAK + end if len(end) == len(flat) else end)[1]
-                hashes = np.array([x[-1] for x in levels], np.uint64).view(np.int64)
-                tail = int(mix(np.array([hash_of(end)], np.uint64), 1).view(np.int64)[0])
-                rows.append((k, tail, _language(lang), source, debris, last_row(body), len(t), len(t.encode("utf-8", "surrogatepass")), hashes))
-            yield pd.DataFrame(rows, columns=["k", "tail", "lang", "source", "debris", "row", "chars", "bytes", "levels"])
+            for at in range(0, len(pdf), 512):
+                rows, ends = [], []
+                part = pdf.iloc[at : at + 512]
+                for k, t, lang, source in zip(part["k"], part["t"], part["lang"], part["source"]):
+                    body, debris = bare_end(t)
+                    if not body:
+                        continue
+                    # enough words before the end for every level
+                    ends.append(unwrapped(body[-4000:])[-240:])
+                    tail = int(mix(np.array([hash_of(ends[-1])], np.uint64), 1).view(np.int64)[0])
+                    rows.append((k, tail, _language(lang), source, debris, last_row(body), len(t), len(t.encode("utf-8", "surrogatepass"))))
+                out = pd.DataFrame(rows, columns=["k", "tail", "lang", "source", "debris", "row", "chars", "bytes"])
+                if ends:
+                    spots, levels, _ = contexts(_BREAK + _BREAK.join(ends) + _BREAK)
+                    last = np.searchsorted(spots, places(ends)[1]) - 1
+                    out["levels"] = list(np.stack([h[last] for h in levels], axis=1).view(np.int64))
+                    yield out
 
     cols = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), "lang", "source").filter(F.col("k").isNotNull() & F.col("t").isNotNull())
     kind = documents.schema[key].dataType.simpleString()
@@ -205,28 +216,39 @@ def hash_of(text: str) -> int:
 def _counts(documents: DataFrame, text: str, bitmap) -> DataFrame:
     """(h, e, i): how often a context that ends some text ends a line or paragraph within a text, and how often the text goes on."""
 
-    def part(texts: list[str], bits: np.ndarray, out: list) -> None:
-        _, levels, goes = contexts(_BREAK.join(texts) + _BREAK)
-        inside = within(texts)
-        ends = goes[inside] >= 2
+    def part(texts: list[str], bits: np.ndarray, out: list, short: np.ndarray) -> None:
+        spots, levels, goes = contexts(_BREAK + _BREAK.join(texts) + _BREAK)
+        start, stop = places(texts)
+        # the last character of a text is its end, which the tails count
+        step = np.zeros(len(spots) + 1, np.int8)
+        np.add.at(step, np.searchsorted(spots, start), 1)
+        np.add.at(step, np.maximum(np.searchsorted(spots, stop) - 1, 0), -1)
+        inside = np.cumsum(step[:-1]) > 0
+        ends = (goes[inside] >= 2).astype(np.uint64)
         for k, h in enumerate(levels):
             h = h[inside]
-            if k == 0:
-                for e, chosen in ((1, ends), (0, ~ends)):
-                    n = np.bincount(h[chosen].astype(np.int64), minlength=SHORT_CELLS)
-                    hit = np.flatnonzero(n)
-                    out.append((hit.astype(np.uint64), n[hit] * e, n[hit] * (1 - e)))
-                continue
-            cell = h >> np.uint64(64 - MAP_BITS)
-            known = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            for e, chosen in ((1, known & ends), (0, known & ~ends)):
-                hit, n = np.unique(h[chosen], return_counts=True)
-                out.append((hit, n * e, n * (1 - e)))
+            if k:
+                cell = h >> np.uint64(63 - MAP_BITS)
+                known = np.flatnonzero((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
+                out.append((h[known] << np.uint64(1)) | ends[known])
+            else:
+                short += np.bincount(((h << np.uint64(1)) | ends).astype(np.int64), minlength=len(short))
+
+    def summed(parts: list) -> pd.DataFrame:
+        """Runs of equal hashes, counted; the lowest bit says whether the line ended there."""
+        x = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(x)))
+        return counted(x[first], n)
+
+    def counted(x: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        end = (x & np.uint64(1)).astype(np.int64)
+        return pd.DataFrame({"h": (x >> np.uint64(1)).view(np.int64), "e": n * end, "i": n * (1 - end)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = bitmap.value
+        bits, out, held, texts, size = bitmap.value, [], 0, [], 0
+        short = np.zeros(2 * SHORT_CELLS, np.int64)
         for pdf in batches:
-            out, texts, size = [], [], 0
             for t in pdf["t"]:
                 body = unwrapped(bare_end(t)[0])
                 if not body:
@@ -234,33 +256,28 @@ def _counts(documents: DataFrame, text: str, bitmap) -> DataFrame:
                 texts.append(body)
                 size += len(body)
                 if size >= STRIDE:
-                    part(texts, bits, out)
+                    part(texts, bits, out, short)
+                    held += sum(map(len, out[1 - LEVELS :]))
                     texts, size = [], 0
-            if texts:
-                part(texts, bits, out)
-            if out:
-                h, e, i = (np.concatenate(x) for x in zip(*out))
-                u, inv = np.unique(h, return_inverse=True)
-                yield pd.DataFrame({"h": u.view(np.int64), "e": np.bincount(inv, e).astype(np.int64), "i": np.bincount(inv, i).astype(np.int64)})
+                    if held > HELD:
+                        yield summed(out)
+                        out, held = [], 0
+        if texts:
+            part(texts, bits, out, short)
+        if out:
+            yield summed(out)
+        hit = np.flatnonzero(short)
+        yield counted(hit.astype(np.uint64), short[hit])
 
     rows = documents.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).mapInPandas(run, "h long, e long, i long")
     return rows.groupBy("h").agg(F.sum("e").alias("e"), F.sum("i").alias("i"))
 
 
-def within(texts: list[str]) -> np.ndarray:
-    """Which non-white characters of the joined texts belong to a text that goes on after them."""
-
-    def solid(t: str) -> int:
-        a = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return int(len(a) - ((a == 32) | ((a >= 9) & (a <= 13)) | (a == 160) | (a == 0x202F)).sum())
-
-    counts = np.array([solid(t) for t in texts])
-    gap = _BREAK.count("\x01")
-    starts = np.concatenate(([0], np.cumsum(counts + gap)[:-1]))
-    keep = np.maximum(counts - 1, 0)  # the last character is the text's end, counted by the tails
-    total = int(keep.sum())
-    inside = np.arange(total) - np.repeat(np.concatenate(([0], np.cumsum(keep)[:-1])), keep) + np.repeat(starts, keep)
-    return inside
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the texts begin and end in _BREAK + _BREAK.join(texts)."""
+    size = np.array([len(t) for t in texts])
+    start = len(_BREAK) + np.concatenate(([0], np.cumsum(size + len(_BREAK))[:-1]))
+    return start, start + size
 
 
 def _spikes(tails: DataFrame) -> DataFrame:
@@ -301,9 +318,9 @@ def _weights(cells: pd.DataFrame, rounds: int = 40) -> tuple[dict, dict]:
         for f, t in tables.items():
             k = cells[f].to_numpy(int)
             cut = np.bincount(k, n * p, len(t)) + 0.5
-            kept = np.bincount(k, n * (1 - p), len(t)) + 0.5 * np.maximum(1, np.exp(-t) * 0 + 1)
+            kept = np.bincount(k, n * (1 - p), len(t)) + 0.5
             new = np.log(cut / cut.sum()) - np.log(kept / kept.sum())
-            tables[f] = np.clip(0.5 * t + 0.5 * new, -5, 5)
+            tables[f] = np.clip(0.5 * t + 0.5 * new, -8, 8)
         for lang in base:
             own = (cells["lang"] == lang).to_numpy()
             share = ((n * p)[own].sum() + 2.0) / (n[own].sum() + 20.0)
@@ -326,9 +343,9 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     tails = stored(_tails(docs, key, text), "tails")
     one = tails.dropDuplicates(["tail"]).select("tail", "levels")
     words = one.select(F.explode("levels").alias("h")).filter(F.col("h").bitwiseAND(~((1 << 18) - 1)) != 0)
-    cell = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    cell = F.shiftrightunsigned("h", 63 - MAP_BITS)
     # at most 2^MAP_BITS / 32 rows, however many texts there are
-    packed = words.select(F.shiftright(cell, 5).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    packed = words.select(F.shiftright(cell, 5).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {63 - MAP_BITS}) & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(1 << (MAP_BITS - 5), np.uint32)
     bits[packed["w"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).astype(np.uint32)
     bitmap = spark.sparkContext.broadcast(bits.view(np.uint8))
@@ -349,7 +366,7 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         e = F.greatest(F.col("ew") - F.col("w"), F.lit(0.0)) + F.coalesce("e", F.lit(0))
         seen = seen.select("tail", F.struct("level", e.cast("double").alias("e"), F.coalesce("i", F.lit(0)).cast("double").alias("i")).alias("c"))
         fold = F.aggregate(F.sort_array(F.collect_list("c")), F.lit(rate), lambda p, c: (c["e"] + F.lit(KAPPA) * p) / (c["e"] + c["i"] + F.lit(KAPPA)))
-        odds = seen.groupBy("tail").agg(fold.alias("p")).select("tail", (F.log(F.col("p") / (1 - F.col("p"))) - F.lit(base)).alias("odds"))
+        odds = seen.groupBy("tail").agg(F.least(F.greatest(fold, F.lit(1e-12)), F.lit(1 - 1e-12)).alias("p")).select("tail", (F.log(F.col("p") / (1 - F.col("p"))) - F.lit(base)).alias("odds"))
         scored = stored(known.join(odds, "tail"), "odds")
         binned = F.least(F.greatest(F.round(F.col("odds") * 2) / 2, F.lit(-12.0)), F.lit(12.0)).alias("odds")
         # bounded: languages x kinds x bins
