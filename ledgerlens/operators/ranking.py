@@ -42,7 +42,7 @@ def weighted_fusion(semantic: DataFrame, keyword: DataFrame, alpha: float = 0.7,
     top = keyword.groupBy(by).agg(F.max("score").alias("top"))
     both = a.join(b, [by, key], "full").join(top, by, "left")
     scaled = F.when(F.col("top") > 0, F.coalesce("b", F.lit(0.0)) / F.col("top")).otherwise(0.0)
-    return both.select(by, key, F.round(alpha * F.coalesce("s", F.lit(0.0)) + (1 - alpha) * scaled, 6).alias("score"))
+    return both.select(by, key, F.round(alpha * F.coalesce("s", F.lit(0.0)) + (1 - alpha) * scaled, 9).alias("score"))
 
 
 def reciprocal_ranks(lists: list[DataFrame], constant: int = 60, by: str = "qid", key: str = "chunk_id") -> DataFrame:

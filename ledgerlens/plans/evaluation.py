@@ -27,8 +27,12 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "tracking_log").distinct()
 
 
-_PASS = F.coalesce(F.col("retrieval.pass_"), F.lit(False))
-_SOURCE = F.coalesce(F.col("attribution.pass_"), F.lit(False))
+def _passed() -> Column:
+    return F.coalesce(F.col("retrieval.pass_"), F.lit(False))
+
+
+def _sourced() -> Column:
+    return F.coalesce(F.col("attribution.pass_"), F.lit(False))
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -51,7 +55,7 @@ def _place(share: float, where: str = "l") -> str:
 def performance_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Errors stay in the denominators and keep their latency; null latencies count in no figure of latency."""
     er = _results(spark, d)
-    n = er.agg(F.count("*").alias("total_queries"), F.count_if(_PASS).alias("retrieval_pass"), F.count_if(_SOURCE).alias("attribution_pass"), F.count("error").alias("errors"), F.min("latency_ms").alias("min_latency_ms"), F.max("latency_ms").alias("max_latency_ms"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"))
+    n = er.agg(F.count("*").alias("total_queries"), F.count_if(_passed()).alias("retrieval_pass"), F.count_if(_sourced()).alias("attribution_pass"), F.count("error").alias("errors"), F.min("latency_ms").alias("min_latency_ms"), F.max("latency_ms").alias("max_latency_ms"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"))
     n = n.withColumn("retrieval_accuracy", _percent(F.col("retrieval_pass"), F.col("total_queries"))).withColumn("attribution_accuracy", _percent(F.col("attribution_pass"), F.col("total_queries")))
     return n.crossJoin(order_statistics(er, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}).drop("n"))  # one row each
 
@@ -68,7 +72,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
     """By day of the run; latency without the rows that failed."""
     er = _results(spark, d).withColumn("day", F.date_format("run_at", "yyyy-MM-dd"))
-    n = er.groupBy("day").agg(F.count("*").alias("queries"), F.count_if(_PASS).alias("r"), F.count_if(_SOURCE).alias("a"), F.count("error").alias("errors"))
+    n = er.groupBy("day").agg(F.count("*").alias("queries"), F.count_if(_passed()).alias("r"), F.count_if(_sourced()).alias("a"), F.count("error").alias("errors"))
     p = order_statistics(er.filter(F.col("error").isNull()), "latency_ms", {"p50": 0.5, "p95": 0.95}, by=["day"]).drop("n")
     zero = F.lit(0.0)
     return n.join(p, "day", "left").select("day", "queries", _percent(F.col("r"), F.col("queries")).alias("retrieval_accuracy"), _percent(F.col("a"), F.col("queries")).alias("attribution_accuracy"), "errors", F.coalesce("p50", zero).alias("p50"), F.coalesce("p95", zero).alias("p95"))
@@ -78,7 +82,7 @@ _GROUPED = f"count(*) AS total, count_if({_R}) AS retrieval_pass, count_if({_A})
 
 
 def _grouped(g) -> DataFrame:
-    return g.agg(F.count("*").alias("total"), F.count_if(_PASS).alias("retrieval_pass"), F.count_if(_SOURCE).alias("attribution_pass"), F.count_if(~(_PASS & _SOURCE)).alias("failures"))
+    return g.agg(F.count("*").alias("total"), F.count_if(_passed()).alias("retrieval_pass"), F.count_if(_sourced()).alias("attribution_pass"), F.count_if(~(_passed() & _sourced())).alias("failures"))
 
 
 @query(f"WITH {EVAL} SELECT category, {_GROUPED} FROM er GROUP BY category")
@@ -110,7 +114,7 @@ def approx_distinct_users(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EVAL} SELECT id, q.category, count(e.query_id) AS runs, count_if(coalesce(retrieval.pass_, false)) AS retrieval_pass, count_if(coalesce(attribution.pass_, false)) AS attribution_pass, coalesce(max(num_results), 0) AS most_results FROM questions q LEFT JOIN er e ON e.query_id = q.id GROUP BY ALL")
 def accuracy_eval(spark: SparkSession, d: str) -> DataFrame:
     """Every question with its runs; one without any run stays."""
-    er = _results(spark, d).select("query_id", _PASS.alias("r"), _SOURCE.alias("a"), "num_results")
+    er = _results(spark, d).select("query_id", _passed().alias("r"), _sourced().alias("a"), "num_results")
     per = er.groupBy("query_id").agg(F.count("*").alias("runs"), F.count_if("r").alias("r"), F.count_if("a").alias("a"), F.max("num_results").alias("m"))
     zero = F.lit(0)
     return read(spark, d, "questions").join(per, F.col("id") == F.col("query_id"), "left").select("id", "category", F.coalesce("runs", zero).alias("runs"), F.coalesce("r", zero).alias("retrieval_pass"), F.coalesce("a", zero).alias("attribution_pass"), F.coalesce("m", zero).alias("most_results"))
@@ -170,7 +174,7 @@ def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_failures(spark: SparkSession, d: str) -> DataFrame:
     """The first five failures of each category."""
-    er = _results(spark, d).select("category", "query_id", "run_id", "run_at", _PASS.alias("retrieval_pass"), _SOURCE.alias("attribution_pass")).filter(~(F.col("retrieval_pass") & F.col("attribution_pass")))
+    er = _results(spark, d).select("category", "query_id", "run_id", "run_at", _passed().alias("retrieval_pass"), _sourced().alias("attribution_pass")).filter(~(F.col("retrieval_pass") & F.col("attribution_pass")))
     w = Window.partitionBy("category").orderBy("run_at", "query_id", "run_id", "retrieval_pass", "attribution_pass")
     return er.withColumn("nth", F.row_number().over(w)).filter("nth <= 5").drop("run_at")
 

@@ -155,7 +155,7 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return _semantic(spark, d, bm), bm
 
 
-_HYBRID = """hy AS (SELECT qid, chunk_id, round(0.7 * coalesce(s.score, 0) + (1 - 0.7) * CASE WHEN top > 0 THEN coalesce(b.score, 0) / top ELSE 0 END, 6) AS score
+_HYBRID = """hy AS (SELECT qid, chunk_id, round(0.7 * coalesce(s.score, 0) + (1 - 0.7) * CASE WHEN top > 0 THEN coalesce(b.score, 0) / top ELSE 0 END, 9) AS score
     FROM sem20 s FULL JOIN bm20 b USING (qid, chunk_id) LEFT JOIN (SELECT qid, max(score) AS top FROM bm20 GROUP BY qid) USING (qid))"""
 
 
@@ -183,7 +183,7 @@ _KEYS = "kw AS (SELECT id AS qid, list_distinct(list_filter(regexp_extract_all(l
 
 
 @query(
-    f"""WITH {_SEM}, {_KEYS}, rr AS (SELECT s.qid, s.chunk_id, round(0.7 * s.score + 0.3 * CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda x: contains(lower(coalesce(content, '')), x))) / len(ks)::DOUBLE ELSE 0 END, 6) AS score
+    f"""WITH {_SEM}, {_KEYS}, rr AS (SELECT s.qid, s.chunk_id, round(0.7 * s.score + 0.3 * CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda x: contains(lower(coalesce(content, '')), x))) / len(ks)::DOUBLE ELSE 0 END, 9) AS score
     FROM sem20 s JOIN one USING (chunk_id) JOIN kw USING (qid)) {_top('rr', 5)}"""
 )
 def keyword_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -193,15 +193,15 @@ def keyword_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = semantic.join(F.broadcast(keys), "qid").join(_texts(spark, d).select("chunk_id", "content"), "chunk_id")
     hits = F.size(F.filter("ks", lambda k: F.contains(F.lower(F.coalesce("content", F.lit(""))), k)))
     share = F.when(F.size("ks") > 0, hits / F.size("ks")).otherwise(0.0)
-    return K.best(rows.select("qid", "chunk_id", F.round(0.7 * F.col("score") + 0.3 * share, 6).alias("score")), "qid", "score", "chunk_id", 5)
+    return K.best(rows.select("qid", "chunk_id", F.round(0.7 * F.col("score") + 0.3 * share, 9).alias("score")), "qid", "score", "chunk_id", 5)
 
 
-@query(f"WITH {_SEM}, tb AS (SELECT qid, chunk_id, round(s.score * CASE WHEN coalesce(contains(content, '|---'), false) THEN 1.2 ELSE 1 END, 6) AS score FROM sem20 s JOIN one USING (chunk_id)) {_top('tb', 10)}")
+@query(f"WITH {_SEM}, tb AS (SELECT qid, chunk_id, round(s.score * CASE WHEN coalesce(contains(content, '|---'), false) THEN 1.2 ELSE 1 END, 9) AS score FROM sem20 s JOIN one USING (chunk_id)) {_top('tb', 10)}")
 def table_boost(spark: SparkSession, d: str) -> DataFrame:
     semantic, _ = _lists(spark, d)
     rows = semantic.join(_texts(spark, d).select("chunk_id", "content"), "chunk_id")
     boost = F.when(F.coalesce(F.contains("content", F.lit("|---")), F.lit(False)), 1.2).otherwise(1.0)
-    return K.best(rows.select("qid", "chunk_id", F.round(F.col("score") * boost, 6).alias("score")), "qid", "score", "chunk_id", 10)
+    return K.best(rows.select("qid", "chunk_id", F.round(F.col("score") * boost, 9).alias("score")), "qid", "score", "chunk_id", 10)
 
 
 _CLASSES = """dc AS (SELECT q.id AS qid, coalesce(round(b.s, 6), 0) AS bm25_score, coalesce(s.s, 0) AS semantic_score, b.s IS NULL AS missing FROM questions q
@@ -384,7 +384,7 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_SEM}, al AS (SELECT unnest({list(ALPHAS)}::DOUBLE[]) AS alpha),
-    hy AS (SELECT alpha, qid, chunk_id, round(alpha * coalesce(s.score, 0) + (1 - alpha) * CASE WHEN top > 0 THEN coalesce(b.score, 0) / top ELSE 0 END, 6) AS score FROM al, (sem20 s FULL JOIN bm20 b USING (qid, chunk_id) LEFT JOIN (SELECT qid, max(score) AS top FROM bm20 GROUP BY qid) USING (qid))),
+    hy AS (SELECT alpha, qid, chunk_id, round(alpha * coalesce(s.score, 0) + (1 - alpha) * CASE WHEN top > 0 THEN coalesce(b.score, 0) / top ELSE 0 END, 9) AS score FROM al, (sem20 s FULL JOIN bm20 b USING (qid, chunk_id) LEFT JOIN (SELECT qid, max(score) AS top FROM bm20 GROUP BY qid) USING (qid))),
     r AS (SELECT *, row_number() OVER (PARTITION BY alpha, qid ORDER BY score DESC, chunk_id) AS rank FROM hy),
     pages AS (SELECT alpha, qid, bool_or(abs(page_number - expected_page_number) <= 1) AS ok FROM r JOIN one USING (chunk_id) JOIN questions q ON q.id = qid WHERE rank <= 5 GROUP BY ALL)
     SELECT alpha, count(*) AS questions, count_if(ok) AS passed FROM pages GROUP BY alpha"""
