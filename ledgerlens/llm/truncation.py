@@ -320,7 +320,8 @@ def _weights(cells: pd.DataFrame, rounds: int = 40) -> tuple[dict, dict]:
             cut = np.bincount(k, n * p, len(t)) + 0.5
             kept = np.bincount(k, n * (1 - p), len(t)) + 0.5
             new = np.log(cut / cut.sum()) - np.log(kept / kept.sum())
-            tables[f] = np.clip(0.5 * t + 0.5 * new, -8, 8)
+            most = 8 if f == "debris" else 5  # a mark settles the matter, a length or a row does not
+            tables[f] = np.clip(0.5 * t + 0.5 * new, -most, most)
         for lang in base:
             own = (cells["lang"] == lang).to_numpy()
             share = ((n * p)[own].sum() + 2.0) / (n[own].sum() + 20.0)
