@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.runtime import WHITE, WORD
 
+#: The white-space characters of Unicode, but for the space itself.
+_SPACES = "".join(map(chr, [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words that carry no meaning in a question.
 STOP_WORDS = ("the", "is", "are", "what", "how", "where", "when", "who", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for")
 
 
 def words(text: Column) -> Column:
-    """The runs of characters without Unicode white space; null for null."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+    """The runs of characters without Unicode white space; null for null. Cheaper than matching each run by a pattern."""
+    return F.filter(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import words
+from ledgerlens.runtime import stored
 
 K1, B = 1.7, 0.6
+#: Different words of the queries that are broadcast at most; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
+_MARK = " "
 
 
 def best(df: DataFrame, by: str, score: str, key: str, k: int) -> DataFrame:
@@ -23,11 +27,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str =
     count in N with length 0. Repeated words of a query count once.
     """
     terms = queries.select(F.col(qkey), F.explode(F.array_distinct(words(F.col(query)))).alias("term"))
-    vocabulary = F.broadcast(terms.select("term").distinct().agg(F.collect_set("term").alias("vocabulary")))  # the words of the questions
+    vocabulary = terms.select("term").distinct()
+    vocabulary = vocabulary.unionByName(queries.sparkSession.createDataFrame([(_MARK,)], "term string"))
+    if vocabulary.count() <= BROADCAST_TERMS:
+        vocabulary = F.broadcast(vocabulary)
     base = docs.select(key, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    totals = F.broadcast(base.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")))  # one row
-    postings = base.crossJoin(vocabulary).select(key, F.size("w").alias("length"), F.explode(F.filter("w", lambda x: F.array_contains("vocabulary", x))).alias("term"))
-    tf = postings.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    # one pass over the texts: a mark that is no word stands once in every document, for how many there are and how long
+    marked = base.select(key, F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit(_MARK)))).alias("term"))
+    kept = marked.join(vocabulary, "term", "left_semi")
+    tf = stored(kept.groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "postings")
+    totals = F.broadcast(tf.filter(F.col("term") == _MARK).agg(F.count("*").alias("n"), F.avg("length").alias("mean")))  # one row
+    tf = tf.filter(F.col("term") != _MARK)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, "term").crossJoin(totals)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -314,7 +314,7 @@ def window_keyword_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {EVAL}, {LOG}, runs AS (SELECT run_id, min(make_timestamp(epoch_us(run_at))) AS t FROM er GROUP BY run_id)
-    SELECT run_id, arg_max(retrieval_accuracy, (logged, subset_size)) AS retrieval_accuracy FROM runs LEFT JOIN log ON CAST(logged AS TIMESTAMP) <= t GROUP BY run_id"""
+    SELECT run_id, arg_max(retrieval_accuracy, (logged, subset_size, retrieval_accuracy)) AS retrieval_accuracy FROM runs LEFT JOIN log ON CAST(logged AS TIMESTAMP) <= t GROUP BY run_id"""
 )
 def asof_latest_metric(spark: SparkSession, d: str) -> DataFrame:
     """For each run the last accuracy logged before it: both on one time line, the last value carried on.
@@ -325,8 +325,8 @@ def asof_latest_metric(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d).select(F.col("logged").cast("timestamp").alias("t"), "subset_size", F.col("retrieval_accuracy").alias("v"))
     line = er.select("t", "run_id", F.lit(None).cast("int").alias("subset_size"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind")).unionByName(log.select("t", F.lit(None).cast("bigint").alias("run_id"), "subset_size", "v", F.lit(0).alias("kind")))
     line = line.withColumn("day", F.to_date("t"))
-    w = Window.partitionBy("day").orderBy("t", "kind", "subset_size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("day").orderBy("t", "kind", "subset_size", "v").rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumn("seen", F.last("v", ignorenulls=True).over(w))
-    days = log.groupBy(F.to_date("t").alias("day")).agg(F.max_by("v", F.struct("t", "subset_size")).alias("v"))
+    days = log.groupBy(F.to_date("t").alias("day")).agg(F.max_by("v", F.struct("t", "subset_size", "v")).alias("v"))
     every = line.select("day").distinct().join(days, "day", "left").withColumn("carried", F.last("v", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "carried")
     return line.filter("kind = 1").join(every, "day", "left").select("run_id", F.coalesce("seen", "carried").alias("retrieval_accuracy"))
