@@ -22,6 +22,8 @@ from ledgerlens.runtime import stored
 
 CLASSES = ("prose", "list", "table", "junk")
 COMPONENTS, ROUNDS, RIDGE = 32, 30, 0.05
+#: A statistic that hardly varies is not blown up beyond this.
+LEAST_SCALE = 0.03
 #: Rows the starting means are chosen from; the fit itself passes over every segment.
 START_ROWS = 4_096
 #: Repeated lines of all files are broadcast up to this many (8 bytes each), else joined by shuffle.
@@ -226,7 +228,7 @@ class Mixture:
         moments = each.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
         self.mean, self.scale = np.zeros(d), np.ones(d)
         for i, m, s in moments:
-            self.mean[i], self.scale[i] = m, max(s or 0.0, 1e-3)
+            self.mean[i], self.scale[i] = m, max(s or 0.0, LEAST_SCALE)
         start = each.orderBy(F.xxhash64("x")).limit(START_ROWS).toPandas()["x"]
         if not len(start):
             self.weights, self.means, self.chols = np.ones(1), np.zeros((1, d)), np.eye(d)[None]
@@ -284,18 +286,21 @@ class Mixture:
         return out
 
     def name_components(self, examples: list[tuple[str, list[float]]]) -> Mixture:
-        """Each component takes the class of the examples nearest to it, by its own covariance."""
+        """Each component takes the class of the examples that lie in it, or else of those nearest to its mean.
+
+        Nearness is by the mean covariance of all components: a small component's own is too tight to compare.
+        """
         x = self.standard(np.array([f for _, f in examples]))
         labels = np.array([CLASSES.index(c) for c, _ in examples])
         r, _ = responsibilities(x, self.weights, self.means, self.chols)
-        density = _log_density(x, self.means, self.chols)
+        pooled = np.einsum("k,kij,klj->il", self.weights / self.weights.sum(), self.chols, self.chols)
+        back = np.linalg.inv(np.linalg.cholesky(pooled))
         votes = np.zeros((len(self.means), len(CLASSES)))
-        for c in range(len(self.means)):
-            own = r[:, c]
-            if own.sum() > 0.5:
-                np.add.at(votes[c], labels, own)
-            else:  # no example lies in it: those it makes likeliest
-                near = np.argsort(-density[:, c])[:3]
+        for c, mean in enumerate(self.means):
+            if r[:, c].sum() > 0.5:
+                np.add.at(votes[c], labels, r[:, c])
+            else:
+                near = np.argsort((((x - mean) @ back.T) ** 2).sum(axis=1))[:3]
                 np.add.at(votes[c], labels[near], [1.0, 0.6, 0.3])
         self.classes = np.eye(len(CLASSES))[votes.argmax(axis=1)]
         return self
