@@ -14,7 +14,7 @@ WORD = f"[^{WHITE}]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where that is unset, a local one (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("ledgerlens.shared.dir", None)
