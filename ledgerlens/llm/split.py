@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.runtime import WORD
-
 LIMIT, OVERLAP = 500, 50
 PIECES = "chunk_id string, piece_index int, content string, page_number int, chunk_index int, start_word int, end_word int, n_words int, boundary string"
 KINDS = ("paragraph", "row", "sentence", "word", "end")
@@ -128,7 +126,11 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
                     rows.append((cid, k, piece, page, index, a, b, b - a, kind))
             yield pd.DataFrame(rows, columns=columns).astype({"page_number": "Int32", "chunk_index": "Int32"})
 
-    large = chunks.select("chunk_id", "content", "page_number", "chunk_index").filter(
-        F.col("chunk_id").isNotNull() & (F.length("content") > 2 * limit) & (F.regexp_count("content", F.lit(WORD)) > limit)
-    )
+    def oversized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # str.split parts at a few characters more, so it never counts too few
+            yield pdf[[len(t.split()) > limit and sum(1 for _ in _WORDS.finditer(t)) > limit for t in pdf["content"]]]
+
+    rows = chunks.select("chunk_id", "content", "page_number", "chunk_index").filter(F.col("chunk_id").isNotNull() & (F.length("content") > 2 * limit))
+    large = rows.mapInPandas(oversized, "chunk_id string, content string, page_number int, chunk_index int")
     return large.dropDuplicates(["chunk_id"]).mapInPandas(cut, PIECES)
