@@ -214,5 +214,7 @@ class NearDuplicates:
             if new.filter("label <> next").isEmpty():
                 break
             label = new.select("node", F.col("next").alias("label"))
+        else:
+            raise RuntimeError(f"labels still changed after {max_rounds} rounds")
         found = label.join(degree, "node").withColumnRenamed("node", "rep")
         return self.members.join(found, "rep", "left").select("chunk_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

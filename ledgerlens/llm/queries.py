@@ -99,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-_ONE = "one AS (SELECT chunk_id, any_value(content) AS content, any_value(metadata.filename) AS filename FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
+_ONE = "one AS (SELECT chunk_id, any_value(content) AS content, any_value(metadata.filename) AS filename, any_value(embedding) AS embedding FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
 
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_ONE} SELECT chunk_id FROM one WHERE len(regexp_extract_all(content, '[^{_WHITE}]+')) > 500",
@@ -114,4 +114,18 @@ ORACLE: dict[str, str] = {
         counts AS (SELECT filename, form, count(DISTINCT chunk_id) AS n FROM lettered GROUP BY filename, form)
         SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no
         FROM lettered JOIN counts USING (filename, form) JOIN totals USING (filename) WHERE n >= 5 AND n >= 0.2 * total""",
+    "p2_found": f"""
+        WITH {_ONE}, used AS (SELECT chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM one WHERE len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        unit AS (SELECT chunk_id, len(v) AS d, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM used),
+        near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS cosine FROM unit a JOIN unit b ON a.d = b.d AND a.chunk_id <> b.chunk_id WHERE list_dot_product(a.u, b.u) >= 0.90),
+        best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS nth FROM near)
+        SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE nth <= 5""",
+    "p4_found": f"""
+        WITH {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[^{_WHITE}]+') AS w FROM one),
+        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 42),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id HAVING count(*) >= 40), k AS (SELECT s.chunk_id, s.s, n.n FROM s JOIN n USING (chunk_id)),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m
+              FROM k a JOIN k b ON a.s = b.s AND a.chunk_id < b.chunk_id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2)
+        SELECT a AS chunk_id_a, b AS chunk_id_b FROM p WHERE m / (na + nb - m) >= 0.6""",
 }
