@@ -31,4 +31,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if new.filter("label <> next").isEmpty():
             break
         label = new.select("node", F.col("next").alias("label"))
+    else:
+        raise RuntimeError(f"labels still changed after {most} rounds")
     return label.select("node", F.col("label").alias("component"))
