@@ -49,3 +49,21 @@ def forecast_errors(series: DataFrame, actual: str, predicted: str) -> DataFrame
     """(mae, rmse, mape): actual values of 0 do not count in the last."""
     e = F.col(actual) - F.col(predicted)
     return series.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(F.abs(e) / F.nullif(F.abs(actual), F.lit(0.0))) * 100).alias("mape"))
+
+
+def forecast_with(series: DataFrame, by: str, x: str, y: str, model, periods: int = 4, least: int = 8) -> DataFrame:
+    """(by, step, forecast) by any model(xs, ys, periods) -> values, one series at a time; shorter series than ``least`` give none.
+
+    A series is one key's periods, so it fits a task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = series.schema[by].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values(x)
+        values = list(model(pdf[x].to_numpy(), pdf[y].to_numpy(), periods)) if len(pdf) >= least else []
+        return pd.DataFrame({by: pd.Series([key[0]] * len(values), dtype=pdf[by].dtype), "step": np.arange(1, len(values) + 1, dtype="int32"), "forecast": np.asarray(values, dtype=float)})
+
+    return series.select(by, x, y).groupBy(by).applyInPandas(run, f"{by} {kind}, step int, forecast double")

@@ -56,3 +56,23 @@ def upsert_stream(points: DataFrame, path: str, checkpoint: str):
         store_points(batch.dropDuplicates(["chunk_id"]), path)
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_accuracy(results: DataFrame) -> DataFrame:
+    """(category, total, passed, accuracy) so far, one row per category and micro-batch that brings results of it.
+
+    ``results`` streams category and passed. The state of a category is two counts, however many results there were.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        total, passed = state.get if state.exists else (0, 0)
+        for pdf in batches:
+            total, passed = total + len(pdf), passed + int(pdf["passed"].fillna(False).sum())
+        state.update((total, passed))
+        yield pd.DataFrame({"category": [key[0]], "total": [total], "passed": [passed], "accuracy": [100.0 * passed / total if total else 0.0]})
+
+    shape = "category string, total bigint, passed bigint, accuracy double"
+    return results.groupBy("category").applyInPandasWithState(update, shape, "total bigint, passed bigint", "update", "NoTimeout")

@@ -77,3 +77,20 @@ def test_json_lines(spark, tmp_path):
 def test_hashing_model():
     a, b, blank = hashing_model(["net debt", "net debt", " "])
     assert (a == b).all() and abs((a * a).sum() - 1) < 1e-6 and not blank.any()
+
+
+def test_reports(spark, tmp_path):
+    from ledgerlens.sources import reports
+
+    metrics = spark.createDataFrame([(3, None)], "total int, errors int")
+    groups = spark.createDataFrame([("b", 2), ("a", None)], "category string, n int")
+    assert reports.markdown_report("Run", metrics, groups) == "# Run\n\n| metric | value |\n|-|-|\n| total | 3 |\n| errors |  |\n\n| category | n |\n|-|-|\n| a |  |\n| b | 2 |\n"
+    assert reports.markdown_report("Run", metrics, groups, limit=1).endswith("1 more rows\n")
+    reports.write_results(groups, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_forecast_by_any_model(spark):
+    df = spark.createDataFrame([("a", float(i), float(i)) for i in range(8)] + [("short", 1.0, 1.0), ("short", 2.0, None)], "k string, t double, v double")
+    got = [tuple(r) for r in S.forecast_with(df, "k", "t", "v", lambda x, y, n: [y[-1]] * n, periods=2).collect()]
+    assert sorted(got) == [("a", 1, 7.0), ("a", 2, 7.0)]

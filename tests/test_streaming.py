@@ -28,3 +28,21 @@ def test_upsert_by_micro_batch(spark, tmp_path):
     run()
     run()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_running_accuracy_keeps_its_state(spark, tmp_path):
+    source, state, seen = str(tmp_path / "in"), str(tmp_path / "state"), {}
+    schema = "category string, passed boolean"
+
+    def keep(batch, _):
+        seen.update({r.category: (r.total, r.passed, r.accuracy) for r in batch.collect()})
+
+    def run():
+        S.running_accuracy(spark.readStream.schema(schema).parquet(source)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    spark.createDataFrame([("a", True), ("a", False), ("b", None)], schema).write.parquet(source)
+    run()
+    assert seen == {"a": (2, 1, 50.0), "b": (1, 0, 0.0)}
+    spark.createDataFrame([("a", True), ("a", True)], schema).write.mode("append").parquet(source)
+    run()
+    assert seen == {"a": (4, 3, 75.0), "b": (1, 0, 0.0)}
