@@ -24,10 +24,9 @@ def one_per_chunk(chunks: DataFrame) -> DataFrame:
 
 def points(chunks: DataFrame) -> DataFrame:
     """The rows of the vector collection: chunks with a vector, and what a search returns of them."""
-    return one_per_chunk(chunks).filter(F.size("embedding") > 0).select(
-        "chunk_id", F.col("content").alias("text"), F.coalesce(word_count(F.col("content")), F.lit(0)).alias("word_count"),
-        F.col("metadata.filename").alias("source_document"), "page_number", "chunk_index", "embedding",
-    )
+    rows = chunks.select("chunk_id", F.col("content").alias("text"), F.col("metadata.filename").alias("source_document"), "page_number", "chunk_index", "embedding")
+    rows = one_per_chunk(rows.filter(F.size("embedding") > 0))
+    return rows.select("chunk_id", "text", F.coalesce(word_count(F.col("text")), F.lit(0)).alias("word_count"), "source_document", "page_number", "chunk_index", "embedding")
 
 
 def create_collection(spark: SparkSession, name: str, schema: str, overwrite: bool = False) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.runtime import stored
+
 CELLS = 4_096
 
 
@@ -17,7 +19,7 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
     by = by or []
     x = df.select(*by, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     one = F.lit(0).alias("__all")
-    counts = x.groupBy(*by, "v").agg(F.count("*").alias("c"))
+    counts = stored(x.groupBy(*by, "v").agg(F.count("*").alias("c")), "counts")  # the input is read once
     ends = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).withColumn("__all", one)
     counts = counts.withColumn("__all", one).join(ends, [*by, "__all"])
     width = F.col("hi") - F.col("lo")

@@ -130,10 +130,10 @@ def metric_correlation(spark: SparkSession, d: str) -> DataFrame:
     return day.agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count("*").alias("days"))
 
 
-@query("WITH r AS (SELECT l_returnflag AS flag, year(l_shipdate) AS y, sum(l_extendedprice * (1 - l_discount)) AS actual, sum(l_extendedprice) * 0.95 AS budget FROM lineitem GROUP BY ALL) SELECT flag, CAST(y AS INTEGER) AS y, round(actual, 2) AS actual, round(budget, 2) AS budget, round(actual - budget, 2) AS variance, round((actual - budget) / nullif(budget, 0) * 100, 4) AS percent, CASE WHEN actual >= budget THEN 'over' ELSE 'under' END AS direction FROM r")
+@query("WITH r AS (SELECT l_returnflag AS flag, year(l_shipdate) AS y, sum(l_extendedprice * (1 - l_discount)) AS actual, sum(l_extendedprice) * 0.95 AS budget FROM lineitem GROUP BY ALL) SELECT flag, CAST(y AS INTEGER) AS y, round(actual, 4) AS actual, round(budget, 4) AS budget, round(actual - budget, 4) AS variance, round((actual - budget) / nullif(budget, 0) * 100, 4) AS percent, CASE WHEN actual >= budget THEN 'over' ELSE 'under' END AS direction FROM r")
 def budget_variance(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.year("l_shipdate").alias("y")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("a"), (F.sum("l_extendedprice") * 0.95).alias("b"))
-    return r.select("flag", "y", F.round("a", 2).alias("actual"), F.round("b", 2).alias("budget"), F.round(F.col("a") - F.col("b"), 2).alias("variance"), F.round((F.col("a") - F.col("b")) / F.nullif("b", F.lit(0.0)) * 100, 4).alias("percent"), F.when(F.col("a") >= F.col("b"), "over").otherwise("under").alias("direction"))
+    return r.select("flag", "y", F.round("a", 4).alias("actual"), F.round("b", 4).alias("budget"), F.round(F.col("a") - F.col("b"), 4).alias("variance"), F.round((F.col("a") - F.col("b")) / F.nullif("b", F.lit(0.0)) * 100, 4).alias("percent"), F.when(F.col("a") >= F.col("b"), "over").otherwise("under").alias("direction"))
 
 
 @query(f"WITH {_M}, s AS (SELECT priority, avg(value) AS mean, stddev_pop(value) AS dev FROM mo GROUP BY 1), z AS (SELECT priority, month, round(abs((value - mean) / nullif(dev, 0)), 4) AS weight FROM mo JOIN s USING (priority)) SELECT priority, month, weight, CASE WHEN weight > 3 THEN 3 WHEN weight > 2 THEN 2 ELSE 1 END AS level FROM z ORDER BY level DESC, weight DESC, priority, month LIMIT 10")

@@ -91,7 +91,9 @@ def list_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POINTS} SELECT chunk_id, page_number, chunk_index, word_count FROM points WHERE source_document = '{BOOK}' AND page_number >= 10")
 def get_document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return R.document_chunks(R.points(read(spark, d, "chunks")), BOOK, first_page=10)
+    """One document's chunks: its name and pages are filtered in the scan, before copies are dropped."""
+    rows = read(spark, d, "chunks").filter((F.col("metadata.filename") == BOOK) & (F.col("page_number") >= 10))
+    return R.document_chunks(R.points(rows), BOOK, first_page=10)
 
 
 @query(f"WITH {ONE} SELECT metadata.filename AS filename, CAST((page_number - 1) // 40 AS INTEGER) AS part, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS chunks FROM one WHERE page_number >= 1 GROUP BY ALL")

@@ -123,13 +123,13 @@ def accuracy_eval(spark: SparkSession, d: str) -> DataFrame:
 _SHARE = "CASE WHEN len(retrieval.expected_keywords) > 0 THEN len(coalesce(retrieval.matched_keywords, []))::DOUBLE / len(retrieval.expected_keywords) ELSE 0 END"
 
 
-@query(f"WITH {EVAL} SELECT category, count(*) AS total, count_if({_SHARE} >= 0.3) AS successes, round(avg(top_score), 6) AS mean_score, round(avg({_SHARE}), 6) AS mean_match FROM er GROUP BY category")
+@query(f"WITH {EVAL} SELECT category, count(*) AS total, count_if({_SHARE} >= 0.3) AS successes, round(avg(top_score), 10) AS mean_score, round(avg({_SHARE}), 6) AS mean_match FROM er GROUP BY category")
 def spike_success(spark: SparkSession, d: str) -> DataFrame:
     """By category: how many results match at least 30 % of the keywords."""
     n = F.coalesce(F.size("retrieval.expected_keywords"), F.lit(0))
     share = F.when(n > 0, F.coalesce(F.size("retrieval.matched_keywords"), F.lit(0)) / n).otherwise(0.0)
     er = _results(spark, d).withColumn("share", F.greatest(share, F.lit(0.0)))
-    return er.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("share") >= 0.3).alias("successes"), F.round(F.avg("top_score"), 6).alias("mean_score"), F.round(F.avg("share"), 6).alias("mean_match"))
+    return er.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("share") >= 0.3).alias("successes"), F.round(F.avg("top_score"), 10).alias("mean_score"), F.round(F.avg("share"), 6).alias("mean_match"))
 
 
 @query("SELECT 'category' AS kind, category AS value, count(*) AS n FROM questions GROUP BY category UNION ALL SELECT 'difficulty', difficulty, count(*) FROM questions GROUP BY difficulty UNION ALL SELECT 'source_document', source_document, count(*) FROM questions GROUP BY source_document")

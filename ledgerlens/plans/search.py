@@ -61,17 +61,17 @@ def _used(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_USED}, q AS (SELECT embedding AS q FROM used ORDER BY chunk_id LIMIT 1)
-    SELECT chunk_id, {_COS.format(a='embedding', b='q')} AS score, metadata.filename AS source_document, page_number FROM used, q
-    WHERE kind = 'pdf' AND substring(metadata.ingestion_timestamp, 1, 10) BETWEEN '2024-03-01' AND '2025-03-31' ORDER BY score DESC, chunk_id LIMIT 10"""
+    f"""WITH {_USED}, q AS (SELECT embedding AS q FROM used ORDER BY chunk_id LIMIT 1), first AS (SELECT chunk_id, min(metadata.ingestion_timestamp) AS since FROM chunks GROUP BY chunk_id)
+    SELECT chunk_id, {_COS.format(a='embedding', b='q')} AS score, metadata.filename AS source_document, page_number FROM used JOIN first USING (chunk_id), q
+    WHERE kind = 'pdf' AND substring(since, 1, 10) BETWEEN '2024-03-01' AND '2025-03-31' ORDER BY score DESC, chunk_id LIMIT 10"""
 )
 def filtered_topk_range(spark: SparkSession, d: str) -> DataFrame:
-    """Filters on type and date before the ranking."""
-    used = _used(spark, d)
-    vector = used.orderBy("chunk_id").select("embedding").first()[0]
-    day = F.substring("metadata.ingestion_timestamp", 1, 10)
-    kept = used.filter((F.lower("metadata.doc_type") == "pdf") & day.between("2024-03-01", "2025-03-31"))
-    return R.cosine_topk(kept, vector, k=10, key="chunk_id").select("chunk_id", "score", F.col("metadata.filename").alias("source_document"), "page_number")
+    """Filters on type and date (of the first copy) before the ranking; what holds for every copy is filtered in the scan."""
+    vector = _used(spark, d).orderBy("chunk_id").select("embedding").first()[0]
+    pdf = read(spark, d, "chunks").filter(F.col("chunk_id").isNotNull() & (F.lower("metadata.doc_type") == "pdf"))
+    one = pdf.groupBy("chunk_id").agg(F.min("metadata.ingestion_timestamp").alias("since"), F.first("embedding").alias("embedding"), F.first("metadata.filename").alias("source_document"), F.first("page_number").alias("page_number"))
+    kept = one.filter(F.substring("since", 1, 10).between("2024-03-01", "2025-03-31"))
+    return R.cosine_topk(kept, vector, k=10, key="chunk_id").select("chunk_id", "score", "source_document", "page_number")
 
 
 @query(f"WITH {_USED}, q AS (SELECT embedding AS q FROM used ORDER BY chunk_id LIMIT 1) SELECT chunk_id, {_COS.format(a='embedding', b='q')} AS score, page_number IS NULL AS page_missing, score NOT BETWEEN 0 AND 1 AS out_of_range FROM used, q")
