@@ -12,7 +12,7 @@ threshold of its language.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,8 +88,8 @@ def long_hash(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(1)) | np.uint64(1 << 20)
 
 
-def contexts(text: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For each non-white character: its place, the hashes of the contexts that end with it, per level, and how the text goes on.
+def contexts(text: str) -> tuple[np.ndarray, Callable[[int, np.ndarray], np.ndarray], np.ndarray]:
+    """The places of the non-white characters; the hashes, at a level, of the contexts that end with some of them; how the text goes on.
 
     Contexts: the last three characters (with whether their word is capitalised); these with one to four
     words before; the whole last word with two or three words before. Digits are alike, words with digits
@@ -103,7 +103,7 @@ def contexts(text: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     solid = ~white
     at = np.flatnonzero(solid)
     if not len(at):
-        return at, [np.empty(0, np.uint64)] * LEVELS, np.empty(0, np.int8)
+        return at, lambda k, where: np.empty(0, np.uint64), np.empty(0, np.int8)
     begins = solid & np.concatenate(([True], white[:-1]))
     start = np.flatnonzero(begins)
     word = np.cumsum(begins)[at] - 1
@@ -142,16 +142,23 @@ def contexts(text: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         two[inside < 2] = 17
         own = chars + one * np.uint64(31) + two * np.uint64(1009) + (capital[word].astype(np.uint64) * np.uint64(4) + gap[word]) * np.uint64(0x5851F42D4C957F2D)
         own = mix(own, 13)
-        full = mix(prefix * np.uint64(4) + gap[word], 15)
-        out = [own >> np.uint64(64 - 18)]
-        out += [long_hash(own ^ mix(back[k], 20 + k)[word]) for k in range(4)]
-        out += [long_hash(full ^ mix(back[k], 30 + k)[word]) for k in (1, 2)]
+    before_last = [mix(back[k], 20 + k) for k in range(4)] + [mix(back[k], 30 + k) for k in (1, 2)]
+
+    def level(k: int, where: np.ndarray) -> np.ndarray:
+        if k == 0:
+            return own[where] >> np.uint64(64 - 18)
+        w = word[where]
+        if k <= 4:
+            return long_hash(own[where] ^ before_last[k - 1][w])
+        with np.errstate(over="ignore"):
+            return long_hash(mix(prefix[where] * np.uint64(4) + gap[w], 15) ^ before_last[k - 1][w])
+
     goes = np.zeros(len(at), np.int8)
     ends = np.zeros(len(start), np.int8)
     ends[:-1] = 1 + np.minimum(newlines[1:], 2)
     ends[-1] = 3
     goes[last] = ends
-    return at, out, goes
+    return at, level, goes
 
 
 def _language(lang) -> str:
@@ -197,9 +204,9 @@ def _tails(documents: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append((k, tail, _language(lang), source, debris, last_row(body), len(t), len(t.encode("utf-8", "surrogatepass"))))
                 out = pd.DataFrame(rows, columns=["k", "tail", "lang", "source", "debris", "row", "chars", "bytes"])
                 if ends:
-                    spots, levels, _ = contexts(_BREAK + _BREAK.join(ends) + _BREAK)
+                    spots, level, _ = contexts(_BREAK + _BREAK.join(ends) + _BREAK)
                     last = np.searchsorted(spots, places(ends)[1]) - 1
-                    out["levels"] = list(np.stack([h[last] for h in levels], axis=1).view(np.int64))
+                    out["levels"] = list(np.stack([level(k, last) for k in range(LEVELS)], axis=1).view(np.int64))
                     yield out
 
     cols = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), "lang", "source").filter(F.col("k").isNotNull() & F.col("t").isNotNull())
@@ -217,22 +224,30 @@ def _counts(documents: DataFrame, text: str, bitmap) -> DataFrame:
     """(h, e, i): how often a context that ends some text ends a line or paragraph within a text, and how often the text goes on."""
 
     def part(texts: list[str], bits: np.ndarray, out: list, short: np.ndarray) -> None:
-        spots, levels, goes = contexts(_BREAK + _BREAK.join(texts) + _BREAK)
+        spots, level, goes = contexts(_BREAK + _BREAK.join(texts) + _BREAK)
         start, stop = places(texts)
         # the last character of a text is its end, which the tails count
         step = np.zeros(len(spots) + 1, np.int8)
         np.add.at(step, np.searchsorted(spots, start), 1)
         np.add.at(step, np.maximum(np.searchsorted(spots, stop) - 1, 0), -1)
-        inside = np.cumsum(step[:-1]) > 0
-        ends = (goes[inside] >= 2).astype(np.uint64)
-        for k, h in enumerate(levels):
-            h = h[inside]
-            if k:
-                cell = h >> np.uint64(63 - MAP_BITS)
-                known = np.flatnonzero((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
-                out.append((h[known] << np.uint64(1)) | ends[known])
-            else:
-                short += np.bincount(((h << np.uint64(1)) | ends).astype(np.int64), minlength=len(short))
+        inside = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        ends = (goes >= 2).astype(np.uint64)
+        short += np.bincount(((level(0, inside) << np.uint64(1)) | ends[inside]).astype(np.int64), minlength=len(short))
+
+        def known(k: int, where: np.ndarray) -> np.ndarray:
+            """Of these places those where the context ends some text; they are noted, and only there a longer one can."""
+            h = level(k, where)
+            cell = h >> np.uint64(63 - MAP_BITS)
+            hit = np.flatnonzero((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
+            where = where[hit]
+            out.append((h[hit] << np.uint64(1)) | ends[where])
+            return where
+
+        two = known(2, known(1, inside))
+        known(5, two)
+        three = known(3, two)
+        known(6, three)
+        known(4, three)
 
     def summed(parts: list) -> pd.DataFrame:
         """Runs of equal hashes, counted; the lowest bit says whether the line ended there."""

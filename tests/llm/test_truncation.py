@@ -82,6 +82,7 @@ def test_lines_broken_by_width_are_joined():
 
 def test_contexts_do_not_depend_on_what_stands_before():
     a, b = "Together Orrivik and Zortara account for rent.", "Other text before it, quite another one.\n\nTogether Orrivik and Zortara account for rent."
-    x, y = T.contexts(T._BREAK + a)[1], T.contexts(T._BREAK + b)[1]
-    assert all(p[-1] == q[-1] for p, q in zip(x, y)) and len({int(p[-1]) for p in x}) == T.LEVELS
-    assert all(np.array_equal(p, q) for p, q in zip(T.contexts(a)[1], T.contexts(a)[1]))
+    one, other = T.contexts(T._BREAK + a), T.contexts(T._BREAK + b)
+    last = [np.array([len(c[0]) - 1]) for c in (one, other)]
+    x, y = ([int(c[1](k, at)[0]) for k in range(T.LEVELS)] for c, at in zip((one, other), last))
+    assert x == y and len(set(x)) == T.LEVELS
