@@ -62,7 +62,7 @@ def pseudo_pages(spark: SparkSession, d: str) -> DataFrame:
     return C.pseudo_pages(_docs(spark, d))
 
 
-@query(f"WITH {LOG} SELECT logged, subset_size, retrieval_accuracy, attribution_accuracy, p50_latency_ms, p95_latency_ms, errors, len(query_ids) AS n_queries FROM log")
+@query(f"WITH {LOG} SELECT logged, subset_size, retrieval_accuracy, attribution_accuracy, p50_latency_ms, p95_latency_ms, errors, CAST(len(query_ids) AS INTEGER) AS n_queries FROM log")
 def load_tracking_log(spark: SparkSession, d: str) -> DataFrame:
     log = read(spark, d, "tracking_log").distinct()
     return log.select("logged", "subset_size", "retrieval_accuracy", "attribution_accuracy", "p50_latency_ms", "p95_latency_ms", "errors", F.size("query_ids").alias("n_queries")).orderBy("logged")
@@ -74,12 +74,12 @@ def collection_scan(spark: SparkSession, d: str) -> DataFrame:
     return R.points(read(spark, d, "chunks")).select("chunk_id", "source_document", "page_number", "chunk_index")
 
 
-@query(f"WITH {POINTS} SELECT chunk_id, word_count, source_document, page_number, chunk_index, len(embedding) AS dimension FROM points")
+@query(f"WITH {POINTS} SELECT chunk_id, word_count, source_document, page_number, chunk_index, CAST(len(embedding) AS INTEGER) AS dimension FROM points")
 def store_points(spark: SparkSession, d: str) -> DataFrame:
     return R.points(read(spark, d, "chunks")).select("chunk_id", "word_count", "source_document", "page_number", "chunk_index", F.size("embedding").alias("dimension"))
 
 
-@query(f"WITH {POINTS} SELECT count(*) AS points, min(len(embedding)) AS least_dimension, max(len(embedding)) AS most_dimension, CAST(sum(word_count) AS BIGINT) AS words FROM points")
+@query(f"WITH {POINTS} SELECT count(*) AS points, CAST(min(len(embedding)) AS INTEGER) AS least_dimension, CAST(max(len(embedding)) AS INTEGER) AS most_dimension, CAST(sum(word_count) AS BIGINT) AS words FROM points")
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.collection_stats(R.points(read(spark, d, "chunks")))
 
@@ -154,7 +154,7 @@ def chunk_by_page(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_by_page(read(spark, d, "elements"))
 
 
-@query(f"WITH {ONE} SELECT count(*) AS chunks, min(len({words('content')})) AS least_words, max(len({words('content')})) AS most_words, round(avg(len({words('content')})), 6) AS mean_words, min(length(content)) AS least_chars, max(length(content)) AS most_chars, CAST(sum(length(content)) AS BIGINT) AS chars FROM one WHERE content IS NOT NULL")
+@query(f"WITH {ONE} SELECT count(*) AS chunks, CAST(min(len({words('content')})) AS INTEGER) AS least_words, CAST(max(len({words('content')})) AS INTEGER) AS most_words, round(avg(len({words('content')})), 6) AS mean_words, CAST(min(length(content)) AS INTEGER) AS least_chars, CAST(max(length(content)) AS INTEGER) AS most_chars, CAST(sum(length(content)) AS BIGINT) AS chars FROM one WHERE content IS NOT NULL")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     one = R.one_per_chunk(read(spark, d, "chunks")).filter(F.col("content").isNotNull()).select(word_count(F.col("content")).alias("w"), F.length("content").alias("c"))
     return one.agg(F.count("*").alias("chunks"), F.min("w").alias("least_words"), F.max("w").alias("most_words"), F.round(F.avg("w"), 6).alias("mean_words"), F.min("c").alias("least_chars"), F.max("c").alias("most_chars"), F.sum("c").alias("chars"))

@@ -347,7 +347,7 @@ def _verdict(normal: bool, k: int = 5) -> str:
     body, key = (fix("body"), fix("lower(k)")) if normal else ("body", "lower(k)")
     return f"""{_BM25}, {_CITED.format(k=k)}, norm AS (SELECT qid, {body} AS body FROM cited),
     keys AS (SELECT id AS qid, unnest(expected_keywords) AS k FROM questions), hits AS (SELECT qid, count_if(contains(body, {key})) AS matched FROM keys JOIN norm USING (qid) GROUP BY qid),
-    verdict AS (SELECT q.id AS qid, len(expected_keywords) AS expected, coalesce(matched, 0) AS matched, n.body IS NOT NULL AND coalesce(matched, 0) >= 0.5 * len(expected_keywords) AS passed FROM questions q LEFT JOIN norm n ON n.qid = q.id LEFT JOIN hits h ON h.qid = q.id)"""
+    verdict AS (SELECT q.id AS qid, CAST(len(expected_keywords) AS INTEGER) AS expected, CAST(coalesce(matched, 0) AS INTEGER) AS matched, n.body IS NOT NULL AND coalesce(matched, 0) >= 0.5 * len(expected_keywords) AS passed FROM questions q LEFT JOIN norm n ON n.qid = q.id LEFT JOIN hits h ON h.qid = q.id)"""
 
 
 @query(f"WITH {_verdict(True)} SELECT * FROM verdict")
