@@ -12,6 +12,7 @@ threshold of its language.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ STRIDE = 150_000
 HELD = 3_000_000
 #: Contexts of the shortest level fall into so many cells.
 SHORT_CELLS = 1 << 18
-ROUNDS = 2
+#: Ends are weighed again until no text changes sides, in so many rounds at least and at most.
+LEAST_ROUNDS, MOST_ROUNDS = 3, 10
 
 _BREAK = "\n\n\x01 \x01 \x01 \x01 \x01\n\n"
 _MARKS = re.compile("(\\s*(…|\\.\\.\\.|\\[\\s*(\\.\\.\\.|…|truncated|cut|more|tronqué|gekürzt|cortado|truncado)\\s*\\]|\\(\\s*(\\.\\.\\.|…|truncated|more|cont\\.?)\\s*\\)|<\\s*(truncated|cut|/?[a-z]{0,8})\\s*>?|&[a-z#0-9]{0,6};?|�+))\\s*$", re.IGNORECASE)
@@ -370,17 +372,18 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_tails = one.count()
     rate = ((total["e"] or 0) + n_tails + 1.0) / ((total["e"] or 0) + (total["i"] or 0) + n_tails + 2.0)
     base = float(np.log(rate / (1 - rate)))
-    levels = stored(one.select("tail", F.posexplode("levels").alias("level", "h")), "levels")
+    levels = one.select("tail", F.posexplode("levels").alias("level", "h")).join(model, "h", "left")
+    levels = stored(levels.select("tail", "level", "h", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("i", F.lit(0)).alias("i")), "levels")
     spikes = _spikes(tails)
     known = tails.join(spikes, ["source", "chars", "bytes"]).select("k", "tail", "lang", "source", "debris", "row", sum((F.col("spike") >= s).cast("int") for s in SPIKE_STEPS).alias("spike"))
-    known = stored(known, "known")
+    known = stored(known.withColumn("was", F.lit(None).cast("boolean")), "known")
     weight = one.select("tail", F.lit(1.0).alias("w"))
-    for turn in range(ROUNDS):
+    for turn in range(MOST_ROUNDS):
         each = levels.join(weight, "tail")
         ends = each.groupBy("h").agg(F.sum("w").alias("ew"))
-        seen = each.join(ends, "h").join(model, "h", "left")
-        e = F.greatest(F.col("ew") - F.col("w"), F.lit(0.0)) + F.coalesce("e", F.lit(0))
-        seen = seen.select("tail", F.struct("level", e.cast("double").alias("e"), F.coalesce("i", F.lit(0)).cast("double").alias("i")).alias("c"))
+        seen = each.join(ends, "h")
+        e = F.greatest(F.col("ew") - F.col("w"), F.lit(0.0)) + F.col("e")
+        seen = seen.select("tail", F.struct("level", e.cast("double").alias("e"), F.col("i").cast("double").alias("i")).alias("c"))
         fold = F.aggregate(F.sort_array(F.collect_list("c")), F.lit(rate), lambda p, c: (c["e"] + F.lit(KAPPA) * p) / (c["e"] + c["i"] + F.lit(KAPPA)))
         odds = seen.groupBy("tail").agg(F.least(F.greatest(fold, F.lit(1e-12)), F.lit(1 - 1e-12)).alias("p")).select("tail", (F.log(F.col("p") / (1 - F.col("p"))) - F.lit(base)).alias("odds"))
         scored = stored(known.join(odds, "tail"), "odds")
@@ -395,9 +398,14 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             z = z + F.element_at(F.array(*[F.lit(float(x)) for x in t]), F.col(f) + 1)
         prior = F.create_map(*[x for lang, b in langs.items() for x in (F.lit(lang), F.lit(b))])
         scored = scored.withColumn("log_odds", z + prior[F.col("lang")])
-        weight = scored.groupBy("tail").agg(F.avg(1 / (1 + F.exp(F.greatest(F.least("log_odds", F.lit(30.0)), F.lit(-30.0))))).alias("w"))
-        if turn < ROUNDS - 1:
-            weight = stored(weight, "weights")
+        known = scored.select("k", "tail", "lang", "source", "debris", "row", "spike", (F.col("log_odds") > 0).alias("was"))
+        moved = scored.agg(F.count_if(~F.col("was").eqNullSafe(F.col("log_odds") > 0))).first()[0]
+        if turn + 1 >= LEAST_ROUNDS and not moved:
+            break
+        if turn + 1 == MOST_ROUNDS:
+            warnings.warn(f"{moved} texts still change sides after {MOST_ROUNDS} rounds", stacklevel=2)
+            break
+        weight = stored(scored.groupBy("tail").agg(F.avg(1 / (1 + F.exp(F.greatest(F.least("log_odds", F.lit(30.0)), F.lit(-30.0))))).alias("w")), "weights")
     if "log_odds" not in scored.columns:
         scored = scored.withColumn("log_odds", F.lit(0.0))
     return scored.select(F.col("k").alias(key), F.when(F.col("source") != "", F.col("source")).alias("source"), "lang", "log_odds", (F.col("log_odds") > 0).alias("is_cut"), "odds", "debris", "row", "spike")

@@ -86,3 +86,22 @@ def test_contexts_do_not_depend_on_what_stands_before():
     last = [np.array([len(c[0]) - 1]) for c in (one, other)]
     x, y = ([int(c[1](k, at)[0]) for k in range(T.LEVELS)] for c, at in zip((one, other), last))
     assert x == y and len(set(x)) == T.LEVELS
+
+
+def test_rounds_go_on_until_no_text_changes_sides(spark, monkeypatch):
+    """The first four weighings put every text on alternate sides; the result is that of the undisturbed ones after them."""
+    rows, _ = corpus(200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = {r.doc_id for r in T.truncated(df).filter("is_cut").collect()}
+    weights, calls = T._weights, []
+
+    def disturbed(cells):
+        base, tables = weights(cells)
+        calls.append(1)
+        if len(calls) <= 4:
+            base = {lang: 90.0 if len(calls) % 2 else -90.0 for lang in base}
+        return base, tables
+
+    monkeypatch.setattr(T, "_weights", disturbed)
+    got = {r.doc_id for r in T.truncated(df).filter("is_cut").collect()}
+    assert len(calls) >= 6 and got == expected
