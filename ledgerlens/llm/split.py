@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 500, 50
 PIECES = "chunk_id string, piece_index int, content string, page_number int, chunk_index int, start_word int, end_word int, n_words int, boundary string"
-KINDS = ("paragraph", "row", "sentence", "word", "end")
+KINDS = ("paragraph", "row", "sentence", "line", "word", "end")
+LINE, WORD, END = 3, 4, 5
 #: Cost of a cut of each kind; a cut inside a sentence outweighs any imbalance.
-CUT_COST = np.array([0.0, 0.15, 0.3, 6.0, 0.0])
+CUT_COST = np.array([0.0, 0.15, 0.3, 1.0, 6.0, 0.0])
 
 _WORDS = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTENCE = re.compile("[.!?\u2026][\"'\u201d\u2019\u00bb)\\]]*$")
@@ -22,9 +23,30 @@ _ENTRY = re.compile("^\\s*([-*\u2022\u2013\u2014|+]|\\(?[0-9]{1,3}[.)]|\\(?[a-zA
 _CELLS = re.compile("\\||\t|;.*;|\\S {2,}\\S.* {2,}\\S|=\\S+.*=")
 
 
+def wrapped_ends(text: str) -> set[int]:
+    """Where the line ends lie that only a line width has made: there the next word would not have fitted."""
+    out: set[int] = set()
+    block: list[tuple[str, int]] = []
+    at = 0
+    for line in (*text.split("\n"), ""):
+        tight = line.strip()
+        if tight:
+            block.append((tight, at + len(line)))
+        elif block:
+            size = sorted(len(x) for x, _ in block)
+            width = size[-1] if len(size) < 10 else size[int(0.9 * (len(size) - 1))]
+            broken = [end for (x, end), (y, _) in zip(block, block[1:]) if len(x) + 1 + len(y.split(None, 1)[0]) > width and not x.endswith(";")]
+            if width >= 30 and len(broken) >= 0.6 * (len(block) - 1):
+                out.update(broken)
+            block = []
+        at += len(line) + 1
+    return out
+
+
 def gap_kinds(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
     """For the gap after each word but the last, the index in KINDS of the boundary there."""
-    kinds = np.full(len(starts) - 1, 3, dtype=np.int8)
+    kinds = np.full(len(starts) - 1, WORD, dtype=np.int8)
+    wrapped = wrapped_ends(text)
     entry: dict[int, bool] = {}
 
     def is_entry(at: int) -> bool:
@@ -44,6 +66,8 @@ def gap_kinds(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
             kinds[i] = 1
         elif text[a - 1] in ".!?\u2026\"'\u201d\u2019\u00bb)]" and _SENTENCE.search(text[max(starts[i], a - 6) : a]) and not text[b].islower():
             kinds[i] = 1 if newlines else 2
+        elif newlines and text.find("\n", a, b) not in wrapped:
+            kinds[i] = LINE
     return kinds
 
 
@@ -56,13 +80,13 @@ def cut_positions(n: int, kinds: np.ndarray, limit: int, overlap: int) -> list[t
     may advance, every word in between is a position too, so a cut always exists.
     """
     step = limit - overlap
-    natural = np.flatnonzero(kinds < 3) + 1
+    natural = np.flatnonzero(kinds < WORD) + 1
     natural = natural[natural >= overlap]
     edges = np.concatenate(([0], natural, [n]))
     wide = np.flatnonzero(np.diff(edges) > step)
     extra = [np.arange(max(edges[w] + 1, overlap), edges[w + 1]) for w in wide]
     pos = np.unique(np.concatenate([edges, *extra])).astype(np.int64)
-    kind = np.full(len(pos), 4, dtype=np.int64)
+    kind = np.full(len(pos), END, dtype=np.int64)
     kind[1:-1] = kinds[pos[1:-1] - 1]
     pieces = max(1, -(-(n - overlap) // step))
     even = (n - overlap) / pieces

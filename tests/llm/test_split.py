@@ -98,3 +98,19 @@ def test_kinds():
     text = "One two. Three four\n\nfive"
     starts, ends = [0, 4, 9, 15, 21], [3, 8, 14, 19, 25]
     assert [KINDS[k] for k in gap_kinds(text, starts, ends)] == ["word", "sentence", "word", "paragraph"]
+
+
+def test_lists_without_marks_are_cut_between_entries():
+    names = ["Osthestre", "Velnodal", "Tamssemund", "Vesribar"]
+    plain = "\n".join(f"O stock de pecas numero {'x' * (i % 7)} - {names[i % 4]}" for i in range(200))
+    closed = "\n".join(f"La plantilla {'de la zona ' * (i % 3)}- {names[i % 4]};" for i in range(200))
+    for text in (plain, closed, closed.replace("\n", "\r\n")):
+        pieces = split_text(text)
+        check_pieces(text, pieces, 500, 50)
+        assert {p[3] for p in pieces[:-1]} == {"line"}
+        assert all(p[0].splitlines()[-1] in text.splitlines() for p in pieces)
+
+
+def test_a_sentence_end_is_better_than_a_line_end():
+    text = "\n".join(f"Some words of entry {'x' * (i % 7)}\nmore of it here. Then others" for i in range(120))
+    assert {p[3] for p in split_text(text)[:-1]} == {"sentence"}
