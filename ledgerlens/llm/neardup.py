@@ -75,11 +75,13 @@ def shingles(text: str, size: int, hashes: WordHashes) -> np.ndarray:
 
 def sketch(members: np.ndarray, bins: int) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit hashes."""
+    if bins > 1 << 11:
+        raise ValueError("at most 2048 bins: the round takes 12 bits")
     values = np.full(bins, _EMPTY)
     for i in range(2 * bins):
         h = mix(members, i + 1)
         bin_of = (h % np.uint64(bins)).astype(np.int64) if i < bins else np.full(len(members), i - bins)
-        ranked = (np.uint64(i) << np.uint64(54)) | (h >> np.uint64(10))
+        ranked = (np.uint64(i) << np.uint64(52)) | (h >> np.uint64(12))
         np.minimum.at(values, bin_of, ranked)
         if values.max() != _EMPTY:
             break

@@ -81,3 +81,14 @@ def test_bands_miss_little():
 
 def test_words_split_at_unicode_white_space_only():
     assert N.words_of("a b　c") == ["a", "b", "c"] and N.words_of("a\x1cb c") == ["a\x1cb", "c"]
+
+
+def test_bins_filled_in_late_rounds_keep_the_earlier_value():
+    """One member and as many bins as p4_groups has: values rank as the rounds that filled their bins first."""
+    bins, member = 715, np.array([12345], np.uint64)
+    first = {}
+    for i in range(2 * bins):
+        first.setdefault(int(N.mix(member, i + 1)[0] % np.uint64(bins)) if i < bins else i - bins, i)
+    values = N.sketch(member, bins)
+    assert max(first.values()) >= 1024
+    assert list(np.argsort(values, kind="stable")) == sorted(range(bins), key=first.__getitem__)
