@@ -25,7 +25,7 @@ PAIRED_COPIES = 1000
 #: Up to this many candidate rows (16 bytes each) are broadcast as a filter; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: A pair at the threshold is missed with this probability at most (less for more similar ones), by so many bands.
-MISS, MAX_BANDS = 3e-3, 72
+MISS, MAX_BANDS = 1e-4, 120
 #: Coordinates of which one bit each is kept, to drop chance candidates before their texts are fetched.
 BITS = 128
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

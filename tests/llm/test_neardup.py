@@ -92,3 +92,9 @@ def test_bins_filled_in_late_rounds_keep_the_earlier_value():
     values = N.sketch(member, bins)
     assert max(first.values()) >= 1024
     assert list(np.argsort(values, kind="stable")) == sorted(range(bins), key=first.__getitem__)
+
+
+def test_pairs_at_the_threshold_are_missed_once_in_ten_thousand_at_most():
+    for t in (0.6, 0.8):
+        bands, rows = N.bands_for(t)
+        assert (1 - t**rows) ** bands <= 1e-4 and bands * rows <= 1 << 11
