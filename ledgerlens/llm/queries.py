@@ -12,7 +12,7 @@ from ledgerlens.llm.lines import repeated_lines, without_lines
 from ledgerlens.llm.mixing import mix_sources, reached_shares
 from ledgerlens.llm.neardup import NearDuplicates
 from ledgerlens.llm.packing import fill_report, pack
-from ledgerlens.llm.quality import text_quality
+from ledgerlens.llm.quality import text_quality, text_statistics
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.llm.tokens import token_counts
 from ledgerlens.llm.truncation import truncated, truncation_by_source
@@ -38,6 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    out = text_statistics(read(spark, d, "chunks"), read(spark, d, "common_words"))
+    return out.select("chunk_id", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_share", "punctuated_lines", "common_words")])
+
+
 def p3_quality(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(read(spark, d, "chunks"), read(spark, d, "common_words"))
 
@@ -95,7 +100,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p4_found, p4_groups, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p3_statistics, p4_found, p4_groups, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -121,6 +126,16 @@ ORACLE: dict[str, str] = {
         near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS cosine FROM unit a JOIN unit b ON a.d = b.d AND a.chunk_id <> b.chunk_id WHERE list_dot_product(a.u, b.u) >= 0.90),
         best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS nth FROM near)
         SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE nth <= 5""",
+    "p3_statistics": f"""
+        WITH {_ONE}, w AS (SELECT chunk_id, content, regexp_extract_all(content, '[^{_WHITE}]+') AS w FROM one WHERE content IS NOT NULL),
+        each AS (SELECT chunk_id, unnest(w) AS word FROM w),
+        c AS (SELECT chunk_id, lang, count(*) AS n FROM each JOIN (SELECT DISTINCT coalesce(lang, '') AS lang, lower(word) AS common FROM common_words WHERE word IS NOT NULL) ON lower(trim(word, '.,;:!?"''()[]|')) = common GROUP BY ALL),
+        most AS (SELECT chunk_id, max(n) AS n FROM c GROUP BY chunk_id),
+        l AS (SELECT chunk_id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^{_WHITE}]')) AS ls FROM w),
+        s AS (SELECT chunk_id, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[\\p{{L}}\\p{{N}}_]', '', 'g')))) AS symbols FROM w)
+        SELECT chunk_id, CAST(s.n AS INTEGER) AS n_words, round(CASE WHEN s.n > 0 THEN chars / s.n ELSE 0 END, 6) AS mean_word_length, round(CASE WHEN s.n > 0 THEN symbols / chars ELSE 0 END, 6) AS symbol_share,
+        round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…]["''”’»)\\]]*[{_WHITE}]*$'))) / len(ls) ELSE 0 END, 6) AS punctuated_lines, round(CASE WHEN s.n > 0 THEN coalesce(most.n, 0) / s.n ELSE 0 END, 6) AS common_words
+        FROM s JOIN l USING (chunk_id) LEFT JOIN most USING (chunk_id)""",
     "p4_found": f"""
         WITH {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[^{_WHITE}]+') AS w FROM one),
         s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 42),

@@ -41,26 +41,71 @@ def test_kinds(spark, chunks_of):
     assert all(abs(got[i].prose + got[i].list + got[i].table + got[i].junk - 1) < 1e-6 for i in kinds)
 
 
-def test_statistics_by_hand():
-    facts = Q.WordFacts({"en": frozenset({"the", "of"})})
-    n, length, symbols, ends, common = Q.statistics("The end of it.\nNo (end)\n\n", facts)
-    assert (n, round(length, 6), round(symbols, 6), ends, round(common, 6)) == (6, round(18 / 6, 6), round(3 / 18, 6), 0.5, round(2 / 6, 6))
-    assert Q.statistics(" ", facts) == (0, 0.0, 0.0, 0.0, 0.0)
+def test_classes_stay_when_files_are_left_out(spark, chunks_of):
+    rows, kinds = corpus()
+    common = spark.createDataFrame([(k, w, i) for k, v in WORDS.items() for i, w in enumerate(v)], "lang string, word string, word_rank int")
+    classes = lambda part: {r.chunk_id: r.kind == "prose" for r in Q.text_quality(chunks_of(part), common).collect()}
+    whole = classes(rows)
+    for k in (0, 1):
+        part = classes([r for i, r in enumerate(rows) if i % 10 != k])
+        assert np.mean([whole[i] == x for i, x in part.items()]) >= 0.99
+
+
+def test_statistics_by_hand(spark, chunks_of):
+    common = spark.createDataFrame([("en", "the", 1), ("en", "of", 2), ("fr", "the", 1)], "lang string, word string, word_rank int")
+    rows = [("a", "The end of it.\nNo (end)\n\n", "f", None), ("b", " ", None, None), ("c", None, "f", None), ("a", "The end of it.\nNo (end)\n\n", "f", None)]
+    got = {r.chunk_id: tuple(r)[1:] for r in Q.text_statistics(chunks_of(rows), common).collect()}
+    assert set(got) == {"a", "b"} and got["b"] == (0, 0.0, 0.0, 0.0, 0.0)
+    assert np.allclose(got["a"], (6, 18 / 6, 3 / 18, 0.5, 2 / 6))
+
+
+def lines_of(text):
+    keys, flat = Q.line_facts(text, Q.WordFacts({"en": frozenset({"the"})}))
+    return keys, np.array(flat, np.int32).reshape(len(keys), -1)
 
 
 def test_wrapped_lines_are_one_unit():
+    def units(lines):
+        m = lines_of("\n".join(lines))[1]
+        return Q.units(m[:, Q.FACTS.index("length")], m[:, Q.FACTS.index("first")], np.array([0])).tolist()
+
     wrapped = ["some words that fill the line up to here", "and then go on with yet other words that", "end at last."]
-    assert Q.units(wrapped) == 1 and Q.units(["- a", "- b", "- c"]) == 3
+    assert units(wrapped) == [1] and units(["- a", "- b", "- c"]) == [3] and units(["alone"]) == [1]
+
+
+def test_lines_and_segments():
+    keys, m = lines_of("Page 12 of 30\n\npage 7 of 9\n12 34\n| a | b | c |\na  b  c  d e\n")
+    assert keys[0] == keys[1] and keys[2] is None and len(keys) == 5
+    shape, again = m[:, Q.FACTS.index("shape")], m[:, Q.FACTS.index("again")]
+    assert shape[3] == Q.CELLS and shape[4] != Q.CELLS and again.sum() == 0
+    shapes = np.array([Q.ITEM, Q.ITEM, Q.TEXT, Q.ITEM, Q.ITEM, Q.ITEM, Q.MARKED, Q.MARKED])
+    assert Q.segments(shapes, np.zeros(8, int)).tolist() == [0, 3, 6] and Q.segments(shapes, np.array([0] * 7 + [1])).tolist() == [0, 3, 6, 7]
+    assert Q.segments(shapes[:0], shapes[:0]).tolist() == []
 
 
 def test_mixture_finds_two_clouds(spark):
     rng = np.random.default_rng(0)
     d = len(Q.FEATURES)
     x = np.concatenate([rng.normal(0, 1, (200, d)), rng.normal(6, 1, (200, d))])
-    m = Q.Mixture(components=2).fit(spark.createDataFrame([([r.tolist()],) for r in x], "xs array<array<double>>"))
-    r, _ = Q.responsibilities(m.standard(x), m.weights, m.means, m.chols)
+    x = np.concatenate([x, np.zeros((400, 1))], axis=1)
+    m = Q.Mixture(components=2).fit(spark.createDataFrame([(r.tolist(),) for r in x.reshape(40, -1)], "xs array<float>"), x)
+    _, r, ll = m.frozen()(x)
     side = r.argmax(axis=1)
     assert len(set(side[:200])) == len(set(side[200:])) == 1 and side[0] != side[-1] and abs(m.weights[0] - 0.5) < 0.05
+    z = (m.standard(x[:5]) - m.means[side[0]]) @ np.linalg.inv(m.chols[side[0]]).T  # the density by its definition
+    log = np.log(m.weights[side[0]]) - 0.5 * (z * z).sum(axis=1) - np.log(np.diag(m.chols[side[0]])).sum() - 0.5 * d * np.log(2 * np.pi)
+    assert np.allclose(ll[:5], log, atol=1e-6)
+
+
+def test_mixed_components_are_split():
+    rng = np.random.default_rng(1)
+    d = len(Q.FEATURES)
+    m = Q.Mixture()
+    m.mean, m.scale, m.usual, m.usual_scale = np.zeros(d), np.ones(d), np.zeros(1), np.ones(1)
+    m.weights, m.means, m.chols = np.ones(1), np.zeros((1, d)), np.eye(d)[None] * 3
+    x = np.concatenate([rng.normal(-2, 0.5, (50, d)), rng.normal(2, 0.5, (50, d))])
+    assert m._split(x, np.repeat([0, 2], 50)) and len(m.means) == 2 and abs(m.weights - 0.5).max() < 0.01
+    assert not m._split(x, np.repeat([0, 2], 50))
 
 
 def test_nothing(spark, chunks_of):
