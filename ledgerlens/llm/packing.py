@@ -22,6 +22,17 @@ from ledgerlens.runtime import stored
 
 #: Items of one size that are numbered together in one task.
 RANKED_TOGETHER = 50_000
+#: Runs of all plans are broadcast up to this many (32 bytes each), else joined by shuffle.
+BROADCAST_RUNS = 2_000_000
+
+
+def most_runs(sizes: int, capacity: int) -> int:
+    """A bound on the runs of a plan, whatever the number of items.
+
+    A run either uses up a size (at most once for each, and leaves up to four runs of containers) or fills a run of
+    containers up to a smaller gap; a gap shrinks by an item at a time, so at most capacity times.
+    """
+    return 4 * sizes * (capacity + 1)
 
 
 def plan_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -121,16 +132,17 @@ def pack(items: DataFrame, capacities: DataFrame, key: str = "doc_id", size: str
     for w, c in windows.items():
         own = table[table["w"] == w].sort_values("tokens")
         runs, _ = plan_containers(own["tokens"].to_numpy(), own["n"].to_numpy(), c)
-        runs.sort()
-        a = np.array(runs, dtype=np.int64).reshape(-1, 4)
-        plans[w] = (a[:, 0] * (1 << 40) + a[:, 1], a[:, 1], a[:, 2], a[:, 3])
-    sent = spark.sparkContext.broadcast(plans)
+        plans[w] = np.array(sorted(runs), dtype=np.int64).reshape(-1, 4)
     before = Window.partitionBy("w", "tokens").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("w", "tokens", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("w", "tokens", "shard").orderBy(F.xxhash64(key, "part"), key, "part")
     ranked = parts.withColumn("nth", F.row_number().over(within)).join(starts, ["w", "tokens", "shard"], "left")
     ranked = ranked.select("w", key, "part", "tokens", (F.coalesce("start", F.lit(0)) + F.col("nth") - 1).alias("rank"))
 
+    if sum(map(len, plans.values())) > BROADCAST_RUNS:
+        return _joined(ranked, plans, wkind).select(F.col("w").alias(window), key, "part", "tokens", "container_id")
+    sent = spark.sparkContext.broadcast({w: (a[:, 0] * (1 << 40) + a[:, 1], a[:, 1], a[:, 2], a[:, 3]) for w, a in plans.items()})
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             box = pd.Series(pd.NA, index=pdf.index, dtype="Int64")
@@ -144,6 +156,15 @@ def pack(items: DataFrame, capacities: DataFrame, key: str = "doc_id", size: str
     return ranked.mapInPandas(assign, shape)
 
 
+def _joined(ranked: DataFrame, plans: dict, wkind: str) -> DataFrame:
+    """ranked with container_id, by a join on the size; each size has its runs in one array, in order of their first ranks."""
+    rows = [(w, int(s), a[a[:, 0] == s, 1:].tolist()) for w, a in plans.items() for s in np.unique(a[:, 0])]
+    runs = ranked.sparkSession.createDataFrame(rows, f"w {wkind}, tokens int, runs array<array<bigint>>")
+    joined = ranked.join(runs, ["w", "tokens"], "left")
+    run = F.element_at(F.filter("runs", lambda r: r[0] <= F.col("rank")), -1)
+    return joined.withColumn("run", F.when(F.col("runs").isNotNull(), run)).withColumn("container_id", F.expr("run[2] + (rank - run[0]) div run[1]"))
+
+
 def fill_report(packed: DataFrame, capacities: DataFrame, window: str = "window_id", capacity: str = "capacity_tokens") -> DataFrame:
     """(window, capacity, containers, tokens, unused_share) of a packing."""
     used = packed.filter(F.col("container_id").isNotNull()).groupBy(window).agg((F.max("container_id") + 1).alias("containers"), F.sum("tokens").alias("tokens"))

@@ -82,7 +82,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
-    sizes = token_counts(read(spark, d, "documents"), keep=("source",))
+    sizes = stored(token_counts(read(spark, d, "documents"), keep=("source",)), "tokens")
     return mix_sources(sizes, read(spark, d, "source_mix"))
 
 

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlens.llm import packing as P
-from ledgerlens.llm.mixing import mix_sources, quotas, reached_shares, split_tree
+from ledgerlens.llm import mixing as M
+from ledgerlens.llm.mixing import mix_sources, quotas, reached_shares, shards_of
 from ledgerlens.llm.tokens import FOLDER, VOCABULARY, token_counts
 
 
@@ -23,6 +24,34 @@ def unfold(runs, sizes, counts):
     return out
 
 
+def best_fit_decreasing(sizes, counts, capacity):
+    gaps = []
+    for s, n in sorted(zip(sizes, counts), reverse=True):
+        for _ in range(n):
+            fit = [g for g in gaps if g >= s]
+            if fit:
+                gaps.remove(min(fit))
+            gaps.append((min(fit) if fit else capacity) - s)
+    return len(gaps)
+
+
+def test_close_to_best_fit_decreasing():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        capacity = int(rng.integers(10, 80))
+        sizes = np.unique(rng.integers(1, capacity + 1, rng.integers(1, 25)))
+        counts = rng.integers(1, 40, len(sizes))
+        assert P.plan_containers(sizes, counts, capacity)[1] <= 1.03 * best_fit_decreasing(sizes.tolist(), counts.tolist(), capacity) + 1
+
+
+def test_plans_do_not_grow_with_the_items():
+    rng = np.random.default_rng(9)
+    sizes = np.unique(rng.integers(1, 2049, 900))
+    counts = rng.integers(1, 50, len(sizes))
+    few, many = (len(P.plan_containers(sizes, counts * scale, 2048)[0]) for scale in (1, 10**7))
+    assert many <= 4 * few and many < P.most_runs(len(sizes), 2048)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(5, 60), st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_plan_fills_and_never_overfills(capacity, hist):
@@ -33,8 +62,7 @@ def test_plan_fills_and_never_overfills(capacity, hist):
     for c, s in unfold(runs, sizes, counts):
         load[c] = load.get(c, 0) + s
     assert len(load) == total and all(0 < x <= capacity for x in load.values())
-    volume = sum(s * n for s, n in zip(sizes, counts))
-    assert total <= 11 / 9 * max(-(-volume // capacity), sum(n for s, n in zip(sizes, counts) if 2 * s > capacity)) + 2
+    assert total <= 11 / 9 * best_fit_decreasing(sizes, counts, capacity) + 2
 
 
 def test_items(spark):
@@ -68,11 +96,48 @@ def test_equal_sizes_are_ranked_apart(spark, monkeypatch):
     assert sorted(load.values()) == [2] + [3] * 66
 
 
+def test_plans_too_large_to_broadcast(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS doc_id", "CAST(1 + id * id % 23 AS INT) AS tokens").union(spark.createDataFrame([(900, 0), (901, 70)], "doc_id long, tokens int"))
+    windows = spark.createDataFrame([(1, 23), (2, 50)], "window_id int, capacity_tokens int")
+    one = {tuple(r) for r in P.pack(df, windows).collect()}
+    monkeypatch.setattr(P, "BROADCAST_RUNS", 0)
+    assert {tuple(r) for r in P.pack(df, windows).collect()} == one
+
+
 def test_splitting_tree_is_exact():
-    rng = np.random.default_rng(1)
-    counts = np.array([1000, 37, 0, 5])
-    shares = split_tree(counts, 13, rng)
-    assert (shares.sum(axis=0) == counts).all() and shares.sum(axis=1).max() - shares.sum(axis=1).min() <= 1
+    counts = [1000, 37, 0, 5]
+    source = np.repeat(np.arange(4), counts)
+    place = np.concatenate([np.arange(n) for n in counts])
+    shard = shards_of(counts, 13, source, place, (1,))
+    per = np.bincount(shard, minlength=13)
+    assert per.sum() == 1042 and per.max() - per.min() <= 1
+    part = np.random.default_rng(0).permutation(len(place))[:100]  # any task finds the same
+    assert (shards_of(counts, 13, source[part], place[part], (1,)) == shard[part]).all()
+    assert (np.diff(shard[source == 0]) >= 0).all()
+
+
+def test_running_sums(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(M, "RUNS", 8)
+    rows = spark.range(300).selectExpr("id % 2 AS mix_id", "'s' AS source", "1 AS repeat_no", "CAST(id AS INT) AS block", "id AS t")
+    got = sorted((r.mix_id, r.before, r.t) for r in M.running(rows, ["mix_id"], F.xxhash64("block"), {"before": "t"}).collect())
+    for m in (0, 1):
+        mine = [(b, t) for k, b, t in got if k == m and t]
+        assert all(b + t == c for (b, t), (c, _) in zip(mine, mine[1:])) and len(mine) == (149 if m == 0 else 150)
+
+
+def test_many_shards_hold_every_source(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_DOCS", 100)
+    monkeypatch.setattr(M, "BLOCKS", 2)  # far fewer than shards: blocks follow the shards
+    sizes = spark.range(8000).selectExpr("id AS doc_id", "IF(id % 4 = 0, 'a', 'b') AS source", "10 AS tokens")
+    mixes = spark.createDataFrame([(1, "a", 0.5, 3), (1, "b", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    got = mix_sources(sizes, mixes).toPandas()
+    per = got.groupby(["shard", "source"]).size().unstack(fill_value=0)
+    assert len(per) == 120 and (per.sum(axis=1) < 300).all() and (per > 0).to_numpy().mean() > 0.95
+    assert (got.groupby(["source", "doc_id"]).size() <= got["source"].map({"a": 3, "b": 1}).max()).all() and not got.duplicated(["doc_id", "repeat_no"]).any()
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    assert set(map(tuple, mix_sources(sizes, mixes).toPandas().to_numpy())) == set(map(tuple, got.to_numpy()))
 
 
 def test_quotas():
