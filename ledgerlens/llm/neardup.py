@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.runtime import stored
 
 SHINGLE, THRESHOLD, MIN_MEMBERS = 5, 0.8, 1
-#: Exact copies up to this many are paired with each other; larger groups with their first member only.
+#: Byte-equal texts up to this many are paired with each other; of more the first alone is paired with all others.
 PAIRED_COPIES = 1000
+#: A bucket of more classes is met in shares of this many, each pair of shares in a task of its own.
+BUCKET_SHARE = 1_000
 #: Up to this many candidate rows (16 bytes each) are broadcast as a filter; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: A pair at the threshold is missed with this probability at most (less for more similar ones), by so many bands.
@@ -108,13 +110,13 @@ def least_agreement(threshold: float) -> int:
 
 
 def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int] | None) -> DataFrame:
-    """With bins: chunk_id, sig (128-bit hash of the set), bands; without: chunk_id, members."""
+    """With bins: chunk_id, sig and text (128-bit hashes of the set and of the text), bands, bits; without: chunk_id, members."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         bands, rows = bins
         for pdf in batches:
-            ids, sigs, keys, bits = [], [], [], []
+            ids, sigs, texts, keys, bits = [], [], [], [], []
             for cid, text in zip(pdf["chunk_id"], pdf["content"]):
                 s = shingles(text, size, hashes)
                 if len(s) < max(1, min_members):
@@ -126,9 +128,10 @@ def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int]
                 for r in range(rows):
                     band = mix(band ^ k[:, r], r)
                 ids.append(cid)
-                sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
+                texts.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                 keys.append(band.view(np.int64))
-            yield pd.DataFrame({"chunk_id": pd.Series(ids, dtype=str), "sig": pd.Series(sigs, dtype=str), "bands": pd.Series(keys, dtype=object), "bits": pd.Series(bits, dtype=object)})
+            yield pd.DataFrame({"chunk_id": pd.Series(ids, dtype=str), "sig": pd.Series(sigs, dtype=object), "text": pd.Series(texts, dtype=object), "bands": pd.Series(keys, dtype=object), "bits": pd.Series(bits, dtype=object)})
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -138,10 +141,29 @@ def _sets(chunks: DataFrame, size: int, min_members: int, bins: tuple[int, int]
 
     rows = chunks.select("chunk_id", "content").filter(F.col("chunk_id").isNotNull() & (F.length("content") > 2 * size - 2))
     if bins:
-        return rows.mapInPandas(sketched, "chunk_id string, sig string, bands array<bigint>, bits array<bigint>")
+        return rows.mapInPandas(sketched, "chunk_id string, sig binary, text binary, bands array<bigint>, bits array<bigint>")
     return rows.mapInPandas(listed, "chunk_id string, members array<bigint>")
 
 
+def _meetings(keyed: DataFrame) -> DataFrame:
+    """(id, other): each two ids of a bucket (band), id < other; buckets may hold a third of all ids.
+
+    A large bucket is cut into shares; each two shares (and each share with itself) meet under a key of their own.
+    """
+    counted = keyed.withColumn("m", F.count("*").over(Window.partitionBy("band")))
+    light = counted.filter(F.col("m") <= BUCKET_SHARE).select("id", "band")
+    twin = light.select(F.col("id").alias("other"), "band")
+    few = light.join(twin, "band").filter(F.col("id") < F.col("other")).select("id", "other")
+    shares = F.ceil(F.col("m") / BUCKET_SHARE).cast("int")
+    heavy = counted.filter(F.col("m") > BUCKET_SHARE).withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("shares")).cast("int"))
+    spread = heavy.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    spread = spread.select("id", "band", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
+    # under the key (p, q) the share p meets the share q
+    left, right = spread.filter(F.col("own") == F.col("p")), spread.filter(F.col("own") == F.col("q")).withColumnRenamed("id", "other")
+    many = left.drop("own").join(right.drop("own"), ["band", "p", "q"]).filter((F.col("id") < F.col("other")) | (F.col("p") < F.col("q")))
+    return few.unionByName(many.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")))
+
+
 class NearDuplicates:
     """Groups of chunks whose word-shingle sets have a Jaccard similarity of at least ``threshold``.
 
@@ -156,10 +178,9 @@ class NearDuplicates:
         sketched = stored(_sets(chunks, size, min_members, bins), "sketches")
         first = sketched.groupBy("sig").agg(F.min("chunk_id").alias("rep"), F.first("bands").alias("bands"))
         reps = sketched.groupBy("sig").agg(F.min("chunk_id").alias("rep"), F.first("bits").alias("bits"))
-        self.members = sketched.select("chunk_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").select("chunk_id", "rep")
+        self.members = sketched.select("chunk_id", "sig", "text").dropDuplicates(["chunk_id"]).join(reps.select("sig", "rep"), "sig").select("chunk_id", "rep", "text")
         keyed = first.select(F.xxhash64("rep").alias("id"), F.explode("bands").alias("band"))
-        twin = keyed.select(F.col("id").alias("other"), "band")
-        pairs = keyed.join(twin, "band").filter(F.col("id") < F.col("other")).select("id", "other").distinct()
+        pairs = _meetings(keyed).distinct()
         bits = reps.select(F.xxhash64("rep").alias("id"), F.col("bits")[0].alias("p"), F.col("bits")[1].alias("q"))
         pairs = pairs.join(bits, "id").join(bits.toDF("other", "r", "s"), "other")
         agree = F.lit(BITS) - F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) - F.bit_count(F.col("q").bitwiseXOR(F.col("s")))
@@ -183,22 +204,27 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(chunk_id_a, chunk_id_b): all pairs of similar chunks, the smaller id first.
 
-        Copies are paired with each other too, in classes of up to PAIRED_COPIES; in larger
-        classes each copy is paired with the first, and links hold between first members.
+        Every two different texts are paired. Byte-equal texts are paired with each other up to
+        PAIRED_COPIES of them; of more than that the first one alone stands for its text, and is
+        paired with each of its copies. ``membership`` has the classes of all.
         """
         members = stored(self.members, "members")
-        sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
-        large = sizes.filter(F.col("n") > PAIRED_COPIES).select("rep")
-        # classes in full, or the first member alone of a large class
-        out = members.join(large, "rep", "left_anti").unionByName(large.select(F.col("rep").alias("chunk_id"), "rep"))
+        copies = members.groupBy("rep", "text").agg(F.count("*").alias("n"), F.min("chunk_id").alias("lead"))
+        crowds = copies.filter(F.col("n") > PAIRED_COPIES).select("rep", "text", "lead")
+        # chunks that are paired in full: all but the copies in crowds, and the first of each crowd
+        out = members.join(crowds, ["rep", "text"], "left_anti").select("chunk_id", "rep").unionByName(crowds.select(F.col("lead").alias("chunk_id"), "rep"))
         left, right = out.select(F.col("rep").alias("a"), F.col("chunk_id").alias("p")), out.select(F.col("rep").alias("b"), F.col("chunk_id").alias("q"))
         across = self.links.select("a", "b").join(left, "a").join(right, "b").select("p", "q")
-        several = sizes.filter((F.col("n") > 1) & (F.col("n") <= PAIRED_COPIES)).select("rep")
-        small = members.join(several, "rep", "left_semi")
-        within = small.select("rep", F.col("chunk_id").alias("p")).join(small.select("rep", F.col("chunk_id").alias("q")), "rep").filter("p < q").select("p", "q")
-        star = members.join(large, "rep", "left_semi").filter("chunk_id <> rep").select(F.col("rep").alias("p"), F.col("chunk_id").alias("q"))
+        several = out.groupBy("rep").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("rep")
+        inner = out.join(several, "rep", "left_semi")
+        within = _meetings(inner.select(F.col("chunk_id").alias("id"), F.col("rep").alias("band"))).toDF("p", "q")
+        star = members.join(crowds, ["rep", "text"]).filter("chunk_id <> lead").select(F.col("lead").alias("p"), F.col("chunk_id").alias("q"))
         return across.unionByName(within).unionByName(star).select(F.least("p", "q").alias("chunk_id_a"), F.greatest("p", "q").alias("chunk_id_b"))
 
+    def membership(self) -> DataFrame:
+        """(chunk_id, rep): for every chunk the first one with the same set of shingles."""
+        return self.members.select("chunk_id", "rep")
+
     def groups(self, max_rounds: int = 50) -> DataFrame:
         """(chunk_id, group_id, n_links): connected classes, by the least chunk_id that links reach.
 

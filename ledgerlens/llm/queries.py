@@ -59,6 +59,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).pairs()
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of p4_found: every chunk beside the first one with the same set."""
+    return _near_duplicates(spark, d).membership()
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(read(spark, d, "chunks")).groups()
 
@@ -100,7 +105,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p3_statistics, p4_found, p4_groups, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p3_statistics, p4_found, p4_groups, p4_members, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -143,4 +148,8 @@ ORACLE: dict[str, str] = {
         p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m
               FROM k a JOIN k b ON a.s = b.s AND a.chunk_id < b.chunk_id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2)
         SELECT a AS chunk_id_a, b AS chunk_id_b FROM p WHERE m / (na + nb - m) >= 0.6""",
+    "p4_members": f"""
+        WITH {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[^{_WHITE}]+') AS w FROM one),
+        s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 42)
+        SELECT chunk_id, min(chunk_id) OVER (PARTITION BY s) AS rep FROM s WHERE len(s) >= 40""",
 }

@@ -46,8 +46,23 @@ def test_copies_case_and_repeated_ids(chunks_of, monkeypatch):
     assert {tuple(r) for r in near.pairs().collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
     groups = {r.chunk_id: (r.group_id, r.n_links) for r in near.groups().collect()}
     assert groups == {"a": ("a", 1), "b": ("a", 1), "c": ("a", 1), "d": ("d", 0)}
-    monkeypatch.setattr(N, "PAIRED_COPIES", 1)  # a large class: copies with their first member, links between first members
-    assert {tuple(r) for r in near.pairs().collect()} == {("a", "b"), ("a", "c")}
+    assert {tuple(r) for r in near.membership().collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+
+
+def test_crowds_lose_no_link_between_different_texts(chunks_of, monkeypatch):
+    monkeypatch.setattr(N, "PAIRED_COPIES", 2)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(f"e{i}", text, "f", None) for i in range(4)] + [("a", text.upper(), "f", None), ("b", text.title(), "f", None), ("c", text + " more", "g", None), ("d", text + " more", "g", None)]
+    got = {tuple(r) for r in N.NearDuplicates(chunks_of(rows), size=3, threshold=0.6, min_members=40).pairs().collect()}
+    lead = ["a", "b", "c", "d", "e0"]  # the crowd of e's stands back behind its first
+    assert got == {(x, y) for x, y in combinations(lead, 2)} | {("e0", f"e{i}") for i in (1, 2, 3)}
+
+
+def test_large_buckets_are_met_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET_SHARE", 7)
+    rows = [(i, 1) for i in range(40)] + [(i, 2) for i in range(5)] + [(100, 3)]
+    got = [tuple(r) for r in N._meetings(spark.createDataFrame(rows, "id long, band long")).collect()]
+    assert sorted(got) == sorted([*combinations(range(40), 2), *combinations(range(5), 2)])
 
 
 def test_chains_are_one_group(chunks_of):
