@@ -1,9 +1,10 @@
 """Problem 2: the k most similar vectors for every vector, as a block matrix join.
 
-Vectors are brought to unit length and quantised to int8. Query and base blocks meet as tiles; the
-int8 product of a tile gives every cosine with a bound on its error. Pairs that may still be
-among the k best (or reach min_cosine) survive, are recomputed from the floats, and heaps of k
-merge them. Blocks are cells around centroids; a query visits the ``probes`` nearest cells, or all.
+Vectors are brought to unit length. Query and base blocks meet as tiles; a tile quantises both to int8,
+and the int8 product gives every cosine with a bound on its error. Pairs that may still be
+among the k best (or reach min_cosine) survive and are recomputed from the floats in the tile, which hands on
+k for each query; the k best of all tiles are merged. Blocks are cells around centroids; a query visits the
+``probes`` nearest cells, or all.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from pyspark.sql import functions as F
 
 from ledgerlens.runtime import stored
 
-#: Vectors the cells' centroids are fitted on, at most (the index; every vector is then assigned).
-FIT_ROWS = 32_768
-#: Rows a cell should have, and the most cells.
-CELL_ROWS, MAX_CELLS = 2_000, 4_096
+#: Vectors the cells' centroids are fitted on: so many, and for many cells FIT_PER_CELL for each (the index; every vector is then assigned).
+FIT_ROWS, FIT_PER_CELL = 32_768, 8
+#: Rows a cell should have. Beyond MANY_CELLS cells both their number and their rows grow as the root of the collection, so that
+#: finding a vector's cells costs as much as searching them.
+CELL_ROWS, MANY_CELLS = 2_000, 4_096
+#: Probes are measured on so many queries: the least number of cells that finds RECALL of their exact neighbours, LEAST_PROBES at least.
+PROBE_QUERIES, RECALL, LEAST_PROBES = 512, 0.995, 3
 #: Base rows of one tile, and query rows multiplied at a time.
 TILE_ROWS, QUERY_ROWS = 4_096, 1_024
+#: Surviving pairs recomputed at a time.
+SURVIVORS = 200_000
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -67,38 +73,98 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) ->
     return c.astype(np.float32)
 
 
+def cell_count(n: int) -> int:
+    cells = max(1, round(n / CELL_ROWS))
+    return cells if cells <= MANY_CELLS else round(MANY_CELLS * (cells / MANY_CELLS) ** 0.5)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float32)
+
+
 def _tile(k: int, min_cosine: float | None):
-    """The tile's survivors: per query the base rows whose upper bound reaches its k-th lower bound and min_cosine."""
+    """The tile's k best of each query, ties by id: survivors of the int8 bounds, recomputed from the floats."""
 
     def join(key: tuple, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(base):
-            d = int(key[0])
-            unpack = lambda s: np.frombuffer(b"".join(s), np.int8).reshape(len(s), d).astype(np.float32)
-            bq, bs, be = unpack(base["q"]), base["scale"].to_numpy(np.float32), base["lost"].to_numpy(np.float32)
-            bid = base["id"].to_numpy()
+            bu, bid, bids = _matrix(base["unit"]), base["id"].to_numpy(), base["ids"].to_numpy()
+            bq, bs, be = quantise(bu)
+            bq = bq.astype(np.float32).T.copy()
             index = pd.Index(bid)
             for at in range(0, len(queries), QUERY_ROWS):
                 part = queries.iloc[at : at + QUERY_ROWS]
-                qs, qe, qid = part["scale"].to_numpy(np.float32), part["lost"].to_numpy(np.float32), part["id"].to_numpy()
+                qu, qid = _matrix(part["unit"]), part["id"].to_numpy()
+                qq, qs, qe = quantise(qu)
                 # integers below 2^24, so the float product is the exact integer product
-                cos = (unpack(part["q"]) @ bq.T) * qs[:, None] * bs[None, :]
+                cos = (qq.astype(np.float32) @ bq) * qs[:, None] * bs[None, :]
                 # |ab - a'b'| <= |a - a'| |b| + |a'| |b - b'|, and |a'| <= 1 + |a - a'|
                 bound = qe[:, None] + (1 + qe[:, None]) * be[None, :] + 1e-6
-                low, high = cos - bound, cos + bound
                 order = index.get_indexer(qid)
                 hit = np.flatnonzero(order >= 0)
-                low[hit, order[hit]] = high[hit, order[hit]] = -9  # itself
+                cos[hit, order[hit]] = -9  # itself
                 least = np.full(len(part), -8.0 if min_cosine is None else min_cosine - 1e-6, np.float32)
-                if low.shape[1] > k:
+                if cos.shape[1] > k:
+                    low = cos - bound
                     least = np.maximum(least, -np.partition(-low, k - 1, axis=1)[:, k - 1])
-                i, j = np.nonzero(high >= least[:, None])
-                out.append(pd.DataFrame({"id": qid[i], "other": bid[j], "low": low[i, j].astype(np.float64), "high": high[i, j].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "low": [], "high": []}).astype({"id": str, "other": str})
+                i, j = np.nonzero(cos + bound >= least[:, None])
+                for some in range(0, len(i), SURVIVORS):  # a crowd of close vectors survives whole
+                    a, b = i[some : some + SURVIVORS], j[some : some + SURVIVORS]
+                    exact = np.einsum("nd,nd->n", qu[a].astype(np.float64), bu[b].astype(np.float64))
+                    out.append(pd.DataFrame({"id": qid[a], "cosine": np.minimum(exact, 1.0), "at": b}))
+                    if len(out) > 1 and sum(map(len, out)) > 2 * SURVIVORS:
+                        out = [heads(pd.concat(out), bids)]
+        if not out:
+            return pd.DataFrame({"id": np.empty(0, np.int64), "ids": pd.Series([], dtype=object), "cosine": np.empty(0)})
+        best = heads(pd.concat(out), bids)
+        return pd.DataFrame({"id": best["id"].to_numpy(), "ids": bids[best["at"].to_numpy()], "cosine": best["cosine"].to_numpy()})
+
+    def heads(rows: pd.DataFrame, bids: np.ndarray) -> pd.DataFrame:
+        if min_cosine is not None:
+            rows = rows[rows["cosine"] >= min_cosine]
+        first = np.array([x[0] for x in bids[rows["at"].to_numpy()]], dtype=object)
+        rows = rows.assign(first=first).sort_values(["id", "cosine", "first"], ascending=[True, False, True])
+        return rows[rows.groupby("id").cumcount() < k].drop(columns="first")
 
     return join
 
 
+def _measured_probes(spark, heads: DataFrame, fits: dict, n: int, k: int, min_cosine: float | None) -> int:
+    """The least number of cells in which RECALL of the exact neighbours of PROBE_QUERIES points lie."""
+    share = min(1.0, 2.0 * PROBE_QUERIES / n)
+    drawn = heads.filter(F.pmod(F.xxhash64("point"), F.lit(1 << 30)) < int(share * (1 << 30))).select("point", "dim", "unit").orderBy(F.xxhash64("point")).limit(PROBE_QUERIES).toPandas()
+    asked = {int(d): (g["point"].to_numpy(), _matrix(g["unit"])) for d, g in drawn.groupby("dim")}
+    sent = spark.sparkContext.broadcast((asked, fits))  # bounded: PROBE_QUERIES vectors and the centroids
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, fits = sent.value
+        for pdf in batches:
+            for d, part in pdf.groupby("dim"):
+                if int(d) not in asked:
+                    continue
+                ids, q = asked[int(d)]
+                u, own, c = _matrix(part["unit"]), part["point"].to_numpy(), fits[int(d)]
+                s = q @ u.T
+                s[ids[:, None] == own[None, :]] = -9
+                take = min(k, s.shape[1])
+                j = np.argpartition(-s, take - 1, axis=1)[:, :take]
+                i = np.repeat(np.arange(len(ids)), take)
+                j = j.ravel()
+                ok = s[i, j] >= (-8 if min_cosine is None else min_cosine)
+                i, j = i[ok], j[ok]
+                mine = (u[j] @ c.T).argmax(axis=1)
+                near = q[i] @ c.T
+                rank = (near > near[np.arange(len(i)), mine][:, None]).sum(axis=1)
+                yield pd.DataFrame({"id": ids[i], "cosine": s[i, j].astype(float), "rank": rank.astype(np.int32)})
+
+    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "rank")
+    found = heads.select("point", "dim", "unit").mapInPandas(run, "id long, cosine double, rank int").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
+    ranks = np.sort(found.select("rank").toPandas()["rank"].to_numpy())  # k rows for each of PROBE_QUERIES
+    if not len(ranks):
+        return LEAST_PROBES
+    return max(LEAST_PROBES, int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))) - 1)]) + 1)
+
+
 def nearest(
     df: DataFrame,
     key: str = "chunk_id",
@@ -106,12 +172,12 @@ def nearest(
     k: int = 5,
     queries: DataFrame | None = None,
     min_cosine: float | None = None,
-    probes: int | None = 8,
+    probes: int | str | None = "measured",
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for each query the k rows of highest cosine, ties by id.
 
     ``queries`` (a column named as ``key``) limits whose neighbours are sought, never among whom.
-    ``probes=None`` visits every cell: exact. ``min_cosine`` drops neighbours below it, and lets tiles
+    ``probes=None`` visits every cell: exact; "measured" so many as find RECALL of the neighbours of a sample. ``min_cosine`` drops neighbours below it, and lets tiles
     discard more. Vectors that are null, empty, zero or not finite take no part, nor do null keys; vectors
     of different length never meet. Repeated keys count once. Equal vectors (however many) are one point;
     neighbours among them are those of least id.
@@ -130,59 +196,47 @@ def nearest(
         points = heads
     else:
         points = heads.join(asked.select("point", "dim").distinct(), ["point", "dim"], "left_semi")
-    cells = int(min(MAX_CELLS, max(1, round(n / CELL_ROWS))))
+    cells = cell_count(n)
+    fit_rows = max(FIT_ROWS, FIT_PER_CELL * cells)
     fits = {}
     for d, m in sorted((r[0], r[1]) for r in heads.groupBy("dim").count().collect()):  # one row per length of vector
-        sample = heads.filter(F.col("dim") == d).select("unit").sample(min(1.0, 1.2 * FIT_ROWS / m), seed=11).limit(FIT_ROWS).toPandas()["unit"]
+        sample = heads.filter(F.col("dim") == d).select("unit").sample(min(1.0, 1.2 * fit_rows / m), seed=11).limit(fit_rows).toPandas()["unit"]
         c = max(1, round(cells * m / n))
         fits[d] = centroids(np.stack(sample.to_numpy()).astype(np.float32), c) if len(sample) and c > 1 else np.zeros((1, d), np.float32)
+    if probes == "measured":
+        probes = _measured_probes(spark, heads, fits, n, k, min_cosine)
     sent = spark.sparkContext.broadcast(fits)
 
     def assign(copies: int | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for d, part in pdf.groupby("dim"):
-                    u = np.stack(part["unit"].to_numpy()).astype(np.float32)
-                    q, scale, lost = quantise(u)
                     c = sent.value[int(d)]
                     take = len(c) if copies is None else min(copies, len(c))
-                    score = u @ c.T
-                    near = np.tile(np.arange(take), (len(u), 1)) if take == len(c) else np.argpartition(-score, take - 1, axis=1)[:, :take]
-                    row = np.repeat(np.arange(len(u)), take)
-                    yield pd.DataFrame({"dim": int(d), "cell": near.ravel(), "id": part["point"].to_numpy()[row], "q": [q[i].tobytes() for i in row], "scale": scale[row], "lost": lost[row]})
+                    if take == len(c):
+                        near = np.tile(np.arange(take, dtype=np.int32), (len(part), 1))
+                    else:
+                        near = np.argpartition(-(_matrix(part["unit"]) @ c.T), take - 1, axis=1)[:, :take].astype(np.int32)
+                    yield part.assign(cells=list(near))
 
         return run
 
-    shape = "dim int, cell int, id long, q binary, scale float, lost float"
-    base = heads.select("point", "dim", "unit").mapInPandas(assign(1), shape)
-    base_tiles = stored(base, "base")
-    sizes = base_tiles.groupBy("dim", "cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
-    base_tiles = base_tiles.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    visits = points.select("point", "dim", "unit").mapInPandas(assign(probes), shape)
-    # at most MAX_CELLS rows for each length of vector
+    base = heads.select("point", "dim", "unit", "ids").mapInPandas(assign(1), "point long, dim int, unit array<float>, ids array<string>, cells array<int>")
+    base = stored(base.select(F.col("point").alias("id"), "dim", "unit", "ids", F.col("cells")[0].alias("cell")), "base")
+    # one row for each cell
+    sizes = stored(base.groupBy("dim", "cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles")), "sizes")
+    base = base.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    visits = points.select("point", "dim", "unit").mapInPandas(assign(probes), "point long, dim int, unit array<float>, cells array<int>")
+    visits = visits.select(F.col("point").alias("id"), "dim", "unit", F.explode("cells").alias("cell"))
     visits = visits.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # queries of a busy cell are spread as well: each share of them meets the cell's tile on its own
     load = visits.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.max("tiles") / (8 * TILE_ROWS)).cast("int").alias("shares"))
     load = stored(load, "load")
     visits = visits.join(F.broadcast(load), ["dim", "cell"]).withColumn("share", F.pmod(F.xxhash64("id", "cell"), F.col("shares")).cast("int"))
-    base_tiles = base_tiles.join(F.broadcast(load), ["dim", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    base = base.join(F.broadcast(load), ["dim", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     by = ["dim", "cell", "tile", "share"]
-    cols = [*by, "id", "q", "scale", "lost"]
-    met = visits.select(*cols).groupBy(*by).cogroup(base_tiles.select(*cols).groupBy(*by)).applyInPandas(_tile(k, min_cosine), "id long, other long, low double, high double")
-    # the k-th lower bound over all tiles discards more before floats are fetched; few rows per query
-    worst = Window.partitionBy("id").orderBy(F.desc("low"), "other")
-    met = met.withColumn("bar", F.nth_value("low", k).over(worst.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = met.filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("id", "other")
-    a = heads.select(F.col("point").alias("id"), F.col("unit").alias("ua"))
-    b = heads.select(F.col("point").alias("other"), F.col("unit").alias("ub"), "ids")
-
-    def dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            c = [float(np.dot(x.astype(np.float64), y.astype(np.float64))) if len(x) == len(y) else -9.0 for x, y in zip(pdf["ua"], pdf["ub"])]
-            yield pd.DataFrame({"id": pdf["id"], "ids": pdf["ids"], "cosine": np.minimum(c, 1.0)})
-
-    near = met.join(a, "id").join(b, "other").mapInPandas(dots, "id long, ids array<string>, cosine double")
-    near = near.filter(F.col("cosine") >= (-8.0 if min_cosine is None else min_cosine))
+    met = visits.select(*by, "id", "unit").groupBy(*by).cogroup(base.select(*by, "id", "unit", "ids").groupBy(*by))
+    near = met.applyInPandas(_tile(k, min_cosine), "id long, ids array<string>, cosine double")
     # members of other points, the k best per point
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     near = near.select("id", "cosine", F.explode("ids").alias("neighbour")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

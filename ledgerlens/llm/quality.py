@@ -445,7 +445,10 @@ def text_quality(chunks: DataFrame, common_words: DataFrame, min_words: int = 20
 
     numbers = "n_words int, mean_word_length double, symbol_share double, punctuated_lines double, common_words double"
     measured = stored(_returning(lined, totals).select("chunk_id", *STATISTICS, "facts", "gone").mapInPandas(measure, f"chunk_id string, {numbers}, sizes array<int>, xs array<float>"), "measured")
-    drawn = measured.select("sizes", "xs").orderBy(F.xxhash64("chunk_id")).limit(SAMPLE_ROWS).toPandas()
+    # about twice as many are looked at, so that tasks do not each send as many as are wanted
+    share = min(1.0, 2.0 * SAMPLE_ROWS / max(1, measured.count()))
+    drawn = measured.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.select("sizes", "xs").orderBy(F.xxhash64("chunk_id")).limit(SAMPLE_ROWS).toPandas()
     sample = np.concatenate([np.empty(0), *drawn["xs"]]).reshape(-1, d + 1)[:SAMPLE_ROWS]
     words = np.concatenate([np.empty(0), *drawn["sizes"]])[:SAMPLE_ROWS]
     mixture = Mixture(languages=len(common)).fit(measured, sample, words).name_components(sample, words)

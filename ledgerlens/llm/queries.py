@@ -30,11 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every chunk whose index is divisible by 100, against all rows, exact."""
     chunks = read(spark, d, "chunks")
-    return nearest(chunks, k=5, queries=chunks.filter(F.col("chunk_index") % 100 == 0), probes=None)
+    near = nearest(chunks, k=5, queries=chunks.filter(F.col("chunk_index") % 100 == 0), probes=None)
+    return near.withColumn("cosine", F.round("cosine", 4))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    near = nearest(read(spark, d, "chunks"), k=5, min_cosine=0.90, probes=8).filter(F.col("cosine") >= 0.90)
+    near = nearest(read(spark, d, "chunks"), k=5, min_cosine=0.90).filter(F.col("cosine") >= 0.90)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 
@@ -109,7 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-_ONE = "one AS (SELECT chunk_id, any_value(content) AS content, any_value(metadata.filename) AS filename, any_value(embedding) AS embedding FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
+_ONE = "one AS (SELECT chunk_id, any_value(content) AS content, any_value(metadata.filename) AS filename, any_value(embedding) AS embedding, any_value(chunk_index) AS chunk_index FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
+
+_UNIT = f"""{_ONE}, used AS (SELECT chunk_id, chunk_index, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM one WHERE len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        unit AS (SELECT chunk_id, chunk_index, len(v) AS d, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM used)"""
 
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_ONE} SELECT chunk_id FROM one WHERE len(regexp_extract_all(content, '[^{_WHITE}]+')) > 500",
@@ -125,12 +130,14 @@ ORACLE: dict[str, str] = {
         SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no
         FROM lettered JOIN counts USING (filename, form) JOIN totals USING (filename) WHERE n >= 5 AND n >= 0.2 * total""",
     "p2_found": f"""
-        WITH {_ONE}, used AS (SELECT chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM one WHERE len(embedding) > 0
-            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        unit AS (SELECT chunk_id, len(v) AS d, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM used),
+        WITH {_UNIT},
         near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS cosine FROM unit a JOIN unit b ON a.d = b.d AND a.chunk_id <> b.chunk_id WHERE list_dot_product(a.u, b.u) >= 0.90),
         best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS nth FROM near)
         SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE nth <= 5""",
+    "p2_nearest": f"""
+        WITH {_UNIT}, near AS (SELECT a.chunk_id AS id, b.chunk_id AS neighbour, round(list_dot_product(a.u, b.u), 9) AS cosine FROM unit a JOIN unit b ON a.d = b.d AND a.chunk_id <> b.chunk_id WHERE a.chunk_index % 100 = 0),
+        best AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS INTEGER) AS rank FROM near)
+        SELECT id, neighbour, round(cosine, 4) AS cosine, rank FROM best WHERE rank <= 5""",
     "p3_statistics": f"""
         WITH {_ONE}, w AS (SELECT chunk_id, content, regexp_extract_all(content, '[^{_WHITE}]+') AS w FROM one WHERE content IS NOT NULL),
         each AS (SELECT chunk_id, unnest(w) AS word FROM w),
@@ -148,6 +155,18 @@ ORACLE: dict[str, str] = {
         p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m
               FROM k a JOIN k b ON a.s = b.s AND a.chunk_id < b.chunk_id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2)
         SELECT a AS chunk_id_a, b AS chunk_id_b FROM p WHERE m / (na + nb - m) >= 0.6""",
+    "p4_groups": f"""
+        WITH RECURSIVE {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[^{_WHITE}]+') AS w FROM one),
+        s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]))) AS s FROM w WHERE len(w) >= 5),
+        m AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY s) AS rep, s FROM s),
+        k AS (SELECT chunk_id AS rep, unnest(s) AS s, len(s) AS n FROM m WHERE chunk_id = rep),
+        rare AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY s) AS df FROM k) QUALIFY row_number() OVER (PARTITION BY rep ORDER BY df, s) <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+        c AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.s = b.s AND a.rep < b.rep),
+        l AS (SELECT a, b FROM c JOIN m x ON x.chunk_id = a JOIN m y ON y.chunk_id = b WHERE len(list_intersect(x.s, y.s)) >= 0.8 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        walk AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.seen),
+        g AS (SELECT node, min(seen) AS label FROM walk GROUP BY node), n AS (SELECT a AS node, count(*) AS n FROM e GROUP BY a)
+        SELECT chunk_id, coalesce(label, rep) AS group_id, coalesce(n, 0) AS n_links FROM m LEFT JOIN g ON g.node = rep LEFT JOIN n ON n.node = rep""",
     "p4_members": f"""
         WITH {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[^{_WHITE}]+') AS w FROM one),
         s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 42)

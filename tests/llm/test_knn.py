@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlens.llm import knn
@@ -48,6 +49,34 @@ def test_recall_of_few_cells(spark, monkeypatch):
     assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.97 * len(pairs(want))
 
 
+def test_cells_grow_with_the_root_beyond_a_number(monkeypatch):
+    assert knn.cell_count(0) == 1 and knn.cell_count(200_000) == 100
+    assert knn.cell_count(4 * knn.MANY_CELLS * knn.CELL_ROWS) == 2 * knn.MANY_CELLS
+
+
+@pytest.mark.parametrize("many", [1 << 20, 20])
+def test_measured_probes_find_enough_in_very_many_cells(spark, monkeypatch, many):
+    monkeypatch.setattr(knn, "CELL_ROWS", 3)
+    monkeypatch.setattr(knn, "MANY_CELLS", many)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    v = np.concatenate([centres + 0.3 * rng.normal(size=centres.shape) for _ in range(10)])
+    got, want = found(knn.nearest(frame(spark, v))), brute(v, 5)
+    hits = sum(len({n for n, _ in got[i]} & {n for n, _ in want[i]}) for i in want)
+    assert hits >= 0.95 * 5 * len(v)
+
+
+def test_a_crowd_of_close_vectors_is_cut_in_its_tile(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SURVIVORS", 500)
+    rng = np.random.default_rng(7)
+    v = np.ones((150, 16)) + 1e-4 * rng.normal(size=(150, 16))  # closer than the int8 bounds can tell
+    df = frame(spark, v)
+    got, want = found(knn.nearest(df, probes=None)), brute(v, 5)
+    assert all(np.allclose([c for _, c in got[i]], [c for _, c in want[i]], atol=1e-9) for i in want)
+    tile = pd.DataFrame({"id": np.arange(150), "unit": list((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)), "ids": [[f"v{i:04d}"] for i in range(150)]})
+    assert len(knn._tile(5, None)((16, 0, 0, 0), tile, tile)) == 5 * 150
+
+
 def test_bounds_hold(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(50, 24)).astype(np.float32)
