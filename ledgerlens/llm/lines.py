@@ -10,6 +10,8 @@ from ledgerlens.runtime import fresh_path, stored
 MIN_CHUNKS, MIN_SHARE = 5, 0.2
 #: A source may hold a third of all rows; joins on the source are spread over this many keys.
 SALT = 16
+#: Buckets of the ledger's tables; loads kept apart before they are written as one; loads of a first filling.
+BUCKETS, MOST_LOADS, LOADS = 32, 8, 2
 
 
 def compared_form(line: Column) -> Column:
@@ -77,61 +79,124 @@ class LineLedger:
     are over the thresholds before and after, and returns the located lines of just those chunks
     that must be rebuilt: the new ones, and old ones of a source in which they hold a line that
     crossed a threshold in either direction. A chunk_id seen before is ignored.
+
+    All tables are laid out by BUCKETS of the source. An update rewrites the counts of the buckets its
+    chunks fall into and looks for stale chunks in these alone; other buckets are not read.
     """
 
     def __init__(self, spark: SparkSession, min_chunks: int = MIN_CHUNKS, min_share: float = MIN_SHARE):
         self.spark, self.min_chunks, self.min_share = spark, min_chunks, min_share
         self.root, self.version = fresh_path(spark, "lines"), 0
-        self.keyed = self.counts = self.totals = self.lines = None
+        self.loads: list[str] = []  # paths of keyed chunks
+        self.tables: dict[str, dict[int, str]] = {"counts": {}, "totals": {}, "crossed": {}}  # bucket -> path
+
+    _SHAPES = {"keyed": "chunk_id string, source long, keys array<bigint>, bucket int", "counts": "source long, key long, n long", "totals": "source long, total long", "crossed": "source long, lines array<bigint>"}
+
+    @staticmethod
+    def _bucket():
+        return F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int")
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/{self.version}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(path)
+        return path
+
+    def _keyed(self, paths: list[str], touched: list[int] | None = None) -> DataFrame:
+        out = self.spark.createDataFrame([], self._SHAPES["keyed"])
+        for p in paths:
+            rows = self.spark.read.schema(self._SHAPES["keyed"]).parquet(p)
+            out = out.unionByName(rows if touched is None else rows.filter(F.col("bucket").isin(touched)))
+        return out.drop("bucket")
+
+    def _table(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        own = self.tables[name]
+        paths = [f"{own[b]}/bucket={b}" for b in sorted(own) if touched is None or b in touched]
+        return self.spark.read.schema(self._SHAPES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self._SHAPES[name])
+
+    def _replace(self, name: str, df: DataFrame, touched: list[int]) -> None:
+        """The table of the touched buckets, anew; a bucket without rows has none."""
+        path = self._write(df, name)
+        have = {r[0] for r in self.spark.read.schema(self._SHAPES[name] + ", bucket int").parquet(path).select("bucket").distinct().collect()} if name == "crossed" else set(touched)  # at most BUCKETS
+        for b in touched:
+            if b in have:
+                self.tables[name][b] = path
+            else:
+                self.tables[name].pop(b, None)
+
+    @property
+    def lines(self) -> DataFrame:
+        """(source, lines): the lines over the thresholds as the state stands."""
+        return self._table("crossed")
 
     def update(self, chunks: DataFrame) -> DataFrame:
-        keyed = line_keys(chunks)
-        if self.keyed is not None:
-            keyed = keyed.join(self.keyed.select("chunk_id"), "chunk_id", "left_anti")
         self.version += 1
-        keyed = self._keep(keyed, "keyed")
-        counts, totals = count_delta(keyed), chunk_totals(keyed)
-        if self.keyed is None:
-            self.keyed, self.counts, self.totals = keyed, counts, totals
-            self.lines = self._keep(crossed(counts, totals, self.min_chunks, self.min_share), "crossed")
-            return locate(keyed, self.lines)
-        old_keyed, old_lines = self.keyed, self.lines
-        if self.version == 2:
-            self.counts = self._keep(self.counts, "counts-before")
-        self.counts = self._keep(merge(self.counts, counts, ["source", "key"], "n"), "counts")
-        self.totals = self._keep(merge(self.totals, totals, ["source"], "total"), "totals")
-        self.lines = self._keep(crossed(self.counts, self.totals, self.min_chunks, self.min_share), "crossed")
-        self.keyed = old_keyed.unionByName(keyed)
-        flips = (
-            self.lines.withColumnRenamed("lines", "now")
-            .join(old_lines.withColumnRenamed("lines", "then"), "source", "full")
-            .select("source", F.coalesce("now", F.array().cast("array<bigint>")).alias("now"), F.coalesce("then", F.array().cast("array<bigint>")).alias("then"))
-            .select("source", F.array_union(F.array_except("now", "then"), F.array_except("then", "now")).alias("lines"))
-            .filter(F.size("lines") > 0)
-        )
-        stale = locate(old_keyed, flips).select("chunk_id").distinct()
-        self.stale = stale
-        rebuild = keyed.unionByName(old_keyed.join(stale, "chunk_id", "left_semi"))
-        return locate(rebuild, self.lines)
+        keyed = line_keys(chunks)
+        if self.loads:
+            keyed = keyed.join(self._keyed(self.loads).select("chunk_id"), "chunk_id", "left_anti")
+        new_path = self._write(keyed, "keyed")
+        new = self._keyed([new_path])
+        touched = sorted(r[0] for r in self.spark.read.schema(self._SHAPES["keyed"]).parquet(new_path).select("bucket").distinct().collect())  # at most BUCKETS
+        old = self.loads
+        self.loads = old + [new_path]
+        if not touched:
+            self.loads, self.stale = old, new.select("chunk_id")
+            return locate(new, self.lines)
+        before = self._table("crossed", touched)
+        self._replace("counts", merge(self._table("counts", touched), count_delta(new), ["source", "key"], "n"), touched)
+        self._replace("totals", merge(self._table("totals", touched), chunk_totals(new), ["source"], "total"), touched)
+        self._replace("crossed", crossed(self._table("counts", touched), self._table("totals", touched), self.min_chunks, self.min_share), touched)
+        after = self._table("crossed", touched)
+        none = F.array().cast("array<bigint>")
+        flips = after.withColumnRenamed("lines", "now").join(before.withColumnRenamed("lines", "then"), "source", "full")
+        flips = flips.select("source", F.coalesce("now", none).alias("now"), F.coalesce("then", none).alias("then"))
+        flips = flips.select("source", F.array_union(F.array_except("now", "then"), F.array_except("then", "now")).alias("lines")).filter(F.size("lines") > 0)
+        earlier = self._keyed(old, touched)
+        self.stale = locate(earlier, flips).select("chunk_id").distinct()
+        rebuild = new.unionByName(earlier.join(self.stale, "chunk_id", "left_semi"))
+        located = locate(rebuild, after)
+        if len(self.loads) > MOST_LOADS:
+            self.version += 1
+            self.loads = [self._write(self._keyed(self.loads), "keyed")]
+        return located
 
     def located(self) -> DataFrame:
         """All located lines as the state stands."""
-        return locate(self.keyed, self.lines)
+        return locate(self._keyed(self.loads), self.lines)
 
 
-def repeated_lines(chunks: DataFrame, min_chunks: int = MIN_CHUNKS, min_share: float = MIN_SHARE) -> DataFrame:
+def repeated_lines(chunks: DataFrame, min_chunks: int = MIN_CHUNKS, min_share: float = MIN_SHARE, loads: int = LOADS) -> DataFrame:
     """(chunk_id, line_no) of every line that returns in at least min_chunks chunks and min_share of the chunks of its file.
 
-    Lines are counted from 1 over content split at LF. Rows that repeat a chunk_id count once;
+    The chunks are brought into a ledger as so many loads, by the month of their ingestion, so that
+    thresholds are crossed by deltas. Lines are counted from 1 over content split at LF. Rows that repeat a chunk_id count once;
     chunks without content count in the file's total; lines without a letter never count. Rows
     without chunk_id or filename are left out. An empty table gives no rows.
     """
-    return LineLedger(chunks.sparkSession, min_chunks, min_share).update(chunks).select("chunk_id", "line_no")
+    ledger = LineLedger(chunks.sparkSession, min_chunks, min_share)
+    for part in by_month(chunks, loads):
+        ledger.update(part)
+    return ledger.located().select("chunk_id", "line_no")
+
+
+def by_month(chunks: DataFrame, parts: int) -> list[DataFrame]:
+    """The chunks in parts of about the same number of rows, by the first seven characters of their ingestion time; rows without one come first."""
+    month = F.coalesce(F.substring("metadata.ingestion_timestamp", 1, 7), F.lit(""))
+    counts = sorted((m, n) for m, n in chunks.groupBy(month.alias("m")).count().collect())  # one row per month
+    total, upto, bounds = sum(n for _, n in counts), 0, []
+    for m, n in counts:
+        if len(bounds) < parts - 1 and upto and upto >= total * (len(bounds) + 1) / parts:
+            bounds.append(m)
+        upto += n
+    edges = [None, *bounds, None]
+    out = []
+    for low, high in zip(edges, edges[1:]):
+        part = chunks
+        if low is not None:
+            part = part.filter(month >= low)
+        if high is not None:
+            part = part.filter(month < high)
+        out.append(part)
+    return out
 
 
 def without_lines(chunks: DataFrame, located: DataFrame) -> DataFrame:

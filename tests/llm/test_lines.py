@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import lines
 from ledgerlens.llm.lines import LineLedger, repeated_lines, without_lines
 
 
@@ -55,6 +58,33 @@ def test_deltas_end_where_one_load_does(spark, chunks_of):
     assert got == brute(rows) == {(r.chunk_id, r.line_no) for r in ledger.located().collect()}
 
 
+def test_only_touched_buckets_are_rewritten(spark, chunks_of, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_LOADS", 2)
+    rows = corpus(120)
+    ledger = LineLedger(spark)
+    ledger.update(chunks_of(rows))
+    before = {name: dict(t) for name, t in ledger.tables.items()}
+    more = [(f"n{i}", f"Page {i}\nown {i}", "file0", None) for i in range(6)]
+    ledger.update(chunks_of(more))
+    moved = {b for b, p in ledger.tables["counts"].items() if before["counts"].get(b) != p}
+    assert len(moved) == 1 and len(ledger.tables["counts"]) > 1
+    ledger.update(chunks_of([("last", "Page 1", "file1", None)]))  # and the loads become one
+    assert len(ledger.loads) == 1
+    assert {(r.chunk_id, r.line_no) for r in ledger.located().collect()} == brute([*rows, *more, ("last", "Page 1", "file1", None)])
+    ledger.update(chunks_of(rows))  # all seen
+    assert ledger.stale.count() == 0 and len(ledger.loads) == 1
+
+
+def test_any_number_of_loads_ends_alike(spark, chunks_of):
+    rows = corpus(90)
+    df = chunks_of(rows)
+    df = df.withColumn("metadata", F.col("metadata").withField("ingestion_timestamp", F.concat(F.lit("2024-0"), 1 + F.col("chunk_index") % 5)))
+    parts = lines.by_month(df, 3)
+    assert len(parts) == 3 and sum(p.count() for p in parts) == df.count() and all(p.count() for p in parts)
+    for n in (1, 2, 3):
+        assert {tuple(r) for r in repeated_lines(df, loads=n).collect()} == brute(rows)
+
+
 def test_text_without_them(chunks_of):
     rows = [(f"c{i}", f"Notice {i}\nkept {chr(97 + i)}\n\nNOTICE", "f", None) for i in range(6)] + [("z", None, "f", None), ("y", "", "f", None)]
     df = chunks_of(rows)
