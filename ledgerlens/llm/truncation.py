@@ -26,8 +26,15 @@ from ledgerlens.runtime import stored
 LEVELS = 7
 #: Weight of the shorter context when a longer one is smoothed.
 KAPPA = 4.0
-#: The contexts that end some text, as a bit map of fixed size: others need not be counted.
-MAP_BITS = 24
+#: The contexts that end some text, as a bit map: others need not be counted. It has eight bits for each, and as a
+#: power of two between these; with more than an eighth of 2^MOST_BITS contexts it lets more of the others pass, and none is lost.
+LEAST_BITS, MOST_BITS = 20, 29
+#: The map is put together from pieces of 2^PIECE_BITS bits.
+PIECE_BITS = 16
+#: Contexts that end more texts than this are joined by broadcast: there are at most LEVELS * texts / HOT of them.
+HOT = 50_000
+#: Words of a text's end that are kept: more than its contexts reach back, and enough to tell copies.
+TAIL_WORDS = 40
 #: Characters handled at a time.
 STRIDE = 150_000
 #: Hashes a task holds before it counts them.
@@ -190,6 +197,22 @@ def unwrapped(text: str) -> str:
     return "\n\n".join(out)
 
 
+def text_end(body: str) -> str:
+    """The last TAIL_WORDS words as they stand, lines joined as in the whole text: from a blank line that has so many words after it."""
+    at, step = len(body), 2_000
+    while at > 0:
+        low = max(0, at - step)
+        for found in reversed(list(_BLANK.finditer(body, low))):
+            if len(body[found.end() :].split(None, TAIL_WORDS)) > TAIL_WORDS:
+                at, low = found.end(), -1
+                break
+        if low < 0:
+            break
+        at, step = low, step * 4
+    text = unwrapped(body[at:])
+    return text[len(text.rsplit(None, TAIL_WORDS)[0]) :] if len(text.split(None, TAIL_WORDS)) > TAIL_WORDS else text
+
+
 def _tails(documents: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,8 +223,7 @@ def _tails(documents: DataFrame, key: str, text: str) -> DataFrame:
                     body, debris = bare_end(t)
                     if not body:
                         continue
-                    # enough words before the end for every level
-                    ends.append(unwrapped(body[-4000:])[-240:])
+                    ends.append(text_end(body))
                     tail = int(mix(np.array([hash_of(ends[-1])], np.uint64), 1).view(np.int64)[0])
                     rows.append((k, tail, _language(lang), source, debris, last_row(body), len(t), len(t.encode("utf-8", "surrogatepass"))))
                 out = pd.DataFrame(rows, columns=["k", "tail", "lang", "source", "debris", "row", "chars", "bytes"])
@@ -222,7 +244,31 @@ def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _counts(documents: DataFrame, text: str, bitmap) -> DataFrame:
+def context_map(contexts_: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits: those of the leading bits of every h are set. Pieces of it are made by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            cell = pdf["h"].to_numpy() >> (63 - bits)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            piece = cell >> PIECE_BITS
+            for part in np.split(cell, np.flatnonzero(np.diff(piece)) + 1) if len(cell) else []:
+                own = pieces.setdefault(int(part[0] >> PIECE_BITS), np.zeros(1 << (PIECE_BITS - 3), np.uint8))
+                inner = part & ((1 << PIECE_BITS) - 1)
+                np.bitwise_or.at(own, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
+        yield pd.DataFrame({"piece": list(pieces), "bits": [p.tobytes() for p in pieces.values()]}).astype({"piece": "int32"})
+
+    # all contexts of a piece come to one task; a piece is 8 KB, and all of them are the map
+    laid = contexts_.select("h").repartition(F.shiftright("h", 63 - bits + PIECE_BITS))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for piece, part in laid.mapInPandas(run, "piece int, bits binary").toLocalIterator():
+        out[piece << (PIECE_BITS - 3) : (piece + 1) << (PIECE_BITS - 3)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _counts(documents: DataFrame, text: str, bitmap, map_bits: int) -> DataFrame:
     """(h, e, i): how often a context that ends some text ends a line or paragraph within a text, and how often the text goes on."""
 
     def part(texts: list[str], bits: np.ndarray, out: list, short: np.ndarray) -> None:
@@ -239,7 +285,7 @@ def _counts(documents: DataFrame, text: str, bitmap) -> DataFrame:
         def known(k: int, where: np.ndarray) -> np.ndarray:
             """Of these places those where the context ends some text; they are noted, and only there a longer one can."""
             h = level(k, where)
-            cell = h >> np.uint64(63 - MAP_BITS)
+            cell = h >> np.uint64(63 - map_bits)
             hit = np.flatnonzero((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
             where = where[hit]
             out.append((h[hit] << np.uint64(1)) | ends[where])
@@ -360,28 +406,32 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = documents.select(key, text, "lang", F.coalesce("source", F.lit("")).alias("source"))
     tails = stored(_tails(docs, key, text), "tails")
     one = tails.dropDuplicates(["tail"]).select("tail", "levels")
-    words = one.select(F.explode("levels").alias("h")).filter(F.col("h").bitwiseAND(~((1 << 18) - 1)) != 0)
-    cell = F.shiftrightunsigned("h", 63 - MAP_BITS)
-    # at most 2^MAP_BITS / 32 rows, however many texts there are
-    packed = words.select(F.shiftright(cell, 5).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {63 - MAP_BITS}) & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    bits[packed["w"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).astype(np.uint32)
-    bitmap = spark.sparkContext.broadcast(bits.view(np.uint8))
-    model = stored(_counts(docs, text, bitmap), "contexts")
+    each = stored(one.select("tail", F.posexplode("levels").alias("level", "h")), "ends")
+    words = each.filter("level > 0").groupBy("h").agg(F.count("*").alias("tails"))
+    words = stored(words, "words")
+    n_words = words.count()
+    map_bits = int(np.clip(np.ceil(np.log2(max(1, 8 * n_words))), LEAST_BITS, MOST_BITS))
+    bitmap = spark.sparkContext.broadcast(context_map(words, map_bits))  # at most 2^MOST_BITS / 8 bytes
+    model = stored(_counts(docs, text, bitmap, map_bits), "contexts")
     total = model.filter((F.col("h") >= 0) & (F.col("h") < SHORT_CELLS)).agg(F.sum("e").alias("e"), F.sum("i").alias("i")).first()
     n_tails = one.count()
     rate = ((total["e"] or 0) + n_tails + 1.0) / ((total["e"] or 0) + (total["i"] or 0) + n_tails + 2.0)
     base = float(np.log(rate / (1 - rate)))
-    levels = one.select("tail", F.posexplode("levels").alias("level", "h")).join(model, "h", "left")
-    levels = stored(levels.select("tail", "level", "h", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("i", F.lit(0)).alias("i")), "levels")
+    # the cells of the shortest level and contexts that end very many texts: joined by broadcast, the others by shuffle
+    hot = F.broadcast(words.filter(F.col("tails") > HOT).select("h"))
+    often = F.broadcast(model.filter((F.col("h") >= 0) & (F.col("h") < SHORT_CELLS)).unionByName(model.join(hot, "h", "left_semi")))
+    far = each.filter("level > 0").join(hot.withColumn("hot", F.lit(True)), "h", "left")
+    near = each.filter("level = 0").withColumn("hot", F.lit(True)).unionByName(far.filter("hot")).join(often, "h", "left")
+    levels = near.unionByName(far.filter("hot IS NULL").withColumn("hot", F.lit(False)).join(model, "h", "left"))
+    levels = stored(levels.select("tail", "level", "h", "hot", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("i", F.lit(0)).alias("i")), "levels")
     spikes = _spikes(tails)
     known = tails.join(spikes, ["source", "chars", "bytes"]).select("k", "tail", "lang", "source", "debris", "row", sum((F.col("spike") >= s).cast("int") for s in SPIKE_STEPS).alias("spike"))
     known = stored(known.withColumn("was", F.lit(None).cast("boolean")), "known")
-    weight = one.select("tail", F.lit(1.0).alias("w"))
+    weight = None
     for turn in range(MOST_ROUNDS):
-        each = levels.join(weight, "tail")
-        ends = each.groupBy("h").agg(F.sum("w").alias("ew"))
-        seen = each.join(ends, "h")
+        each = levels.withColumn("w", F.lit(1.0)) if weight is None else levels.join(weight, "tail")
+        ends = each.groupBy("hot", "h").agg(F.sum("w").alias("ew"))
+        seen = each.filter("hot").join(F.broadcast(ends.filter("hot").drop("hot")), "h").unionByName(each.filter("NOT hot").join(ends.filter("NOT hot").drop("hot"), "h"))
         e = F.greatest(F.col("ew") - F.col("w"), F.lit(0.0)) + F.col("e")
         seen = seen.select("tail", F.struct("level", e.cast("double").alias("e"), F.col("i").cast("double").alias("i")).alias("c"))
         fold = F.aggregate(F.sort_array(F.collect_list("c")), F.lit(rate), lambda p, c: (c["e"] + F.lit(KAPPA) * p) / (c["e"] + c["i"] + F.lit(KAPPA)))

@@ -105,3 +105,30 @@ def test_rounds_go_on_until_no_text_changes_sides(spark, monkeypatch):
     monkeypatch.setattr(T, "_weights", disturbed)
     got = {r.doc_id for r in T.truncated(df).filter("is_cut").collect()}
     assert len(calls) >= 6 and got == expected
+
+
+def test_bounds_forced_low_change_nothing(spark, monkeypatch):
+    rows, _ = corpus(300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = lambda: {r.doc_id: (round(r.odds, 9), r.is_cut) for r in T.truncated(df).collect()}
+    whole = found()
+    monkeypatch.setattr(T, "LEAST_BITS", 17)
+    monkeypatch.setattr(T, "MOST_BITS", 17)  # most bits are set: others are counted too
+    monkeypatch.setattr(T, "HOT", 3)
+    assert found() == whole
+
+
+def test_map_has_the_bits_of_all_contexts(spark):
+    h = np.random.default_rng(3).integers(1 << 20, 1 << 62, 5000)
+    bits = np.unpackbits(T.context_map(spark.createDataFrame([(int(x),) for x in h], "h long"), 20), bitorder="little")
+    assert set(np.flatnonzero(bits)) == set((h >> 43).tolist())
+
+
+def test_ends_of_texts():
+    words = " ".join(f"w{i}" for i in range(100))
+    assert T.text_end("short text") == "short text"
+    assert T.text_end(words).split() == words.split()[-T.TAIL_WORDS :]
+    lines = "\n".join(" ".join(f"word{i}{k}" for k in range(8)) for i in range(700))  # a last block longer than any window
+    for text in (lines, words + "\n\n" + lines, lines + "\n \n" + words, "x" * 9000 + "\n\nend of it"):
+        whole = T.unwrapped(text)
+        assert whole.endswith(T.text_end(text).strip()) and len(T.text_end(text).split()) == min(len(text.split()), T.TAIL_WORDS)
