@@ -51,15 +51,19 @@ def query_keywords(question: Column) -> Column:
 
 
 def fiscal_period(label: Column) -> Column:
-    """'Q3 FY24' -> 2024-Q3, 'H1 2026' -> 2026-H1, 'May-21' and '2021-05' -> 2021-05; else null."""
+    """'Q3 FY24', 'Q3 2024' and 'Third Quarter 2024' -> 2024-Q3, 'H1 2026' -> 2026-H1, 'May-21' and '2021-05' -> 2021-05; else null."""
     months = F.create_map(*[x for i, m in enumerate(("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"), 1) for x in (F.lit(m), F.lit(f"{i:02d}"))])
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(label, pattern, group)
 
+    nth = F.create_map(*[x for i, w in enumerate(("first", "second", "third", "fourth"), 1) for x in (F.lit(w), F.lit(f"-Q{i}"))])
+    full, spelt = "^(Q[1-4]) (?:FY)?([0-9]{4})$", "(?i)^(first|second|third|fourth) quarter (?:of )?(?:FY)?([0-9]{4})$"
     quarter, half, month, plain = "^(Q[1-4]) FY([0-9]{2})$", "^(H[12]) ([0-9]{4})$", "^([A-Z][a-z]{2})-([0-9]{2})$", "^([0-9]{4})-([0-9]{2})$"
     return (
         F.when(label.rlike(quarter), F.concat(F.lit("20"), part(quarter, 2), F.lit("-"), part(quarter, 1)))
+        .when(label.rlike(full), F.concat(part(full, 2), F.lit("-"), part(full, 1)))
+        .when(label.rlike(spelt), F.concat(part(spelt, 2), nth[F.lower(part(spelt, 1))]))
         .when(label.rlike(half), F.concat(part(half, 2), F.lit("-"), part(half, 1)))
         .when(label.rlike(month), F.concat(F.lit("20"), part(month, 2), F.lit("-"), months[part(month, 1)]))
         .when(label.rlike(plain), label)

@@ -134,6 +134,25 @@ def table_aware_chunks(elements: DataFrame, sentences: int = 2) -> DataFrame:
     )
 
 
+def typed_chunks(elements: DataFrame, size: int = 500, overlap: int = 50, sentences: int = 2) -> DataFrame:
+    """(filename, chunk_type, page_number, item_seq, part, content): whole documents, tables apart from text.
+
+    A table is one chunk however long it is, with the sentences before and after it. The text between two tables, page by
+    page, comes in windows of words. item_seq is the table's, or that of the first text item of the run; part counts the run's windows.
+    """
+    _check(size, overlap)
+    tables = table_aware_chunks(elements, sentences).select("filename", F.lit("table").alias("chunk_type"), "page_number", "item_seq", F.lit(0).alias("part"), "content")
+    one = elements.select("filename", "item_seq", "page_no", "text", "is_table").filter(F.col("filename").isNotNull() & F.col("item_seq").isNotNull()).distinct()
+    filled = fill_forward(one.withColumn("page_number", F.col("page_no")), "filename", "item_seq", "page_number", 1).filter(F.col("text").isNotNull() & (stripped(F.col("text")) != ""))
+    runs = running_before(filled.withColumn("table", F.coalesce(F.col("is_table"), F.lit(False)).cast("int")), "filename", "item_seq", "table", "run").filter("table = 0")
+    texts = runs.groupBy("filename", "run", "page_number").agg(F.min("item_seq").alias("item_seq"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", "text"))), lambda x: x["text"]), " ").alias("content"))
+    step = size - overlap
+    w = texts.withColumn("w", words(F.col("content"))).filter(F.size("w") > 0)
+    w = w.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.size("w") <= size, 0).otherwise(F.ceil(F.size("w") / step).cast("int") - 1))))
+    content = F.when(F.size("w") <= size, F.col("content")).otherwise(F.array_join(F.slice("w", F.col("part") * step + 1, F.lit(size)), " "))
+    return tables.unionByName(w.select("filename", F.lit("text").alias("chunk_type"), "page_number", "item_seq", "part", content.alias("content")))
+
+
 def pseudo_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", pages: str = "page_count") -> DataFrame:
     """(key, page_number, content): the text in as many slices of equal length as pages; the last takes the rest."""
     base = docs.select(key, F.col(text).alias("t"), F.col(pages).cast("int").alias("p")).filter(F.col("t").isNotNull() & (F.col("p") > 0))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.text import word_count
 from ledgerlens.functions.vectors import cosine, usable
+from ledgerlens.runtime import filesystem, stored
 
 #: Query vectors that are sent to every task at a time.
 QUERY_BLOCK = 8_192
+#: Buckets of a collection; an update writes those again that it touches.
+BUCKETS = 64
 FILTERS = ("source_document", "doc_type", "page_number", "label")
 
 
@@ -36,28 +42,103 @@ def create_collection(spark: SparkSession, name: str, schema: str, overwrite: bo
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
 
 
-def store_points(new: DataFrame, path: str) -> int:
-    """Add points to the collection at path, replacing those of the same chunk_id; returns how many it holds.
+def delete_collection(spark: SparkSession, path: str, really: bool = False) -> bool:
+    """Remove the collection at path with all its versions; ``really`` has to be said. Whether there was one."""
+    if not really:
+        raise ValueError(f"say really=True to delete {path}")
+    at, fs = filesystem(spark, path)
+    return bool(fs.exists(at) and fs.delete(at, True))
 
-    The result is written beside the old table and then takes its place, so a failure leaves the old one.
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    at, fs = filesystem(spark, f"{path}/_manifest")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()) if fs.exists(at) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """{schema, key, parts: {bucket: folder}} of the newest version; empty where there is none."""
+    versions = _manifests(spark, path)
+    if not versions:
+        return {}
+    at, fs = filesystem(spark, f"{path}/_manifest/{versions[-1]}")
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _folders(path: str, manifest: dict, buckets: list[int] | None = None) -> list[str]:
+    return [f"{path}/{v}/bucket={b}" for b, v in manifest["parts"].items() if buckets is None or int(b) in buckets]
+
+
+def open_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The points of the newest complete version."""
+    manifest = _manifest(spark, path)
+    if not manifest:
+        raise FileNotFoundError(f"no collection at {path}")
+    schema = StructType.fromJson(manifest["schema"])
+    folders = _folders(path, manifest)
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def store_points(new: DataFrame, path: str, document: str = "source_document") -> int:
+    """Add points to the collection at path; returns how many it holds.
+
+    A document that ``new`` brings is replaced as a whole, so that what a longer earlier version left behind is gone;
+    without a column of that name, points are replaced by their chunk_id. The collection lies in buckets of the document, and
+    only buckets that ``new`` touches are written again. Data are written beside the old ones; the new version
+    exists once its manifest does, which is created in one step: whatever fails before leaves the old version to all readers. Two
+    writers at a time: the second fails. The version before the last is kept for readers that are at work, older ones are removed.
     """
     spark = new.sparkSession
-    from py4j.protocol import Py4JJavaError
-
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    if fs.exists(at):
-        old = spark.read.parquet(path)
-        new = old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns).unionByName(new)
-    side = jvm.org.apache.hadoop.fs.Path(path + ".new")
-    new.write.mode("overwrite").parquet(path + ".new")
-    try:
-        fs.delete(at, True)
-        fs.rename(side, at)
-    except Py4JJavaError as e:
-        raise OSError(f"could not replace {path}") from e
-    return spark.read.parquet(path).count()
+    key = document if document in new.columns else "chunk_id"
+    versions, old = _manifests(spark, path), _manifest(spark, path)
+    if old and old["key"] != key:
+        raise ValueError(f"the collection at {path} is kept by {old['key']}")
+    version = versions[-1] + 1 if versions else 1
+    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    rows = stored(new, "points")
+    touched = {int(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most BUCKETS
+    merged, parts = rows, {b: v for b, v in (old.get("parts") or {}).items() if int(b) not in touched}
+    kept = _folders(path, old, sorted(touched)) if old else []
+    if kept:
+        before = spark.read.schema(StructType.fromJson(old["schema"])).parquet(*kept)
+        merged = before.join(rows.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(rows)
+    merged.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    parts |= {str(b): folder for b in touched}
+    _publish(spark, path, version, {"schema": new.schema.jsonValue(), "key": key, "parts": parts})
+    _drop_unused(spark, path, versions)
+    return open_collection(spark, path).count()
+
+
+def _publish(spark: SparkSession, path: str, version: int, manifest: dict) -> None:
+    at, fs = filesystem(spark, f"{path}/_manifest/{version}")
+    side, _ = filesystem(spark, f"{path}/_manifest/.{version}-{uuid.uuid4().hex}")
+    out = fs.create(side, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    # renaming to a name that exists fails, so a version is written once
+    if fs.exists(at) or not fs.rename(side, at):
+        fs.delete(side, False)
+        raise OSError(f"version {version} of {path} exists already")
+
+
+def _drop_unused(spark: SparkSession, path: str, before: list[int]) -> None:
+    """Manifests but the last two, and folders that neither of these names."""
+    root, fs = filesystem(spark, path)
+    for v in before[:-1]:
+        fs.delete(filesystem(spark, f"{path}/_manifest/{v}")[0], False)
+    used = set()
+    for v in _manifests(spark, path):
+        stream = fs.open(filesystem(spark, f"{path}/_manifest/{v}")[0])
+        used |= set(json.loads(bytes(stream.readAllBytes()).decode())["parts"].values())
+        stream.close()
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("v") and name not in used:
+            fs.delete(f.getPath(), True)
 
 
 def filtered(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -78,6 +159,29 @@ def cosine_topk(df: DataFrame, vector: list[float], k: int = 5, key: str = "vec_
     return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest_rows(df: DataFrame, vector: list[float], k: int = 5, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+    """(key, score, and all columns of df): the k keys of highest cosine, where df may hold several copies of a key.
+
+    Keys and scores are ranked alone, without a shuffle; a few more than k are looked at until k are different. The
+    whole rows of these few are read then.
+    """
+    spark = df.sparkSession
+    narrow = df.filter(F.col(key).isNotNull()).select(key, column)
+    most, found = 2 * k, {}
+    while True:
+        q = F.array(*[F.lit(float(x)) for x in vector])
+        scored = narrow.filter(usable(F.col(column))).select(key, F.round(cosine(F.col(column), q), 6).alias("score"))
+        top = scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(most).collect()  # a small multiple of k
+        found = dict((r[0], r[1]) for r in reversed(top))
+        if len(found) >= k or len(top) < most:
+            break
+        most *= 4
+    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+    scores = spark.createDataFrame(best, f"{key} {df.schema[key].dataType.simpleString()}, score double")
+    rows = df.filter(F.col(key).isin([x for x, _ in best])).dropDuplicates([key])
+    return rows.join(F.broadcast(scores), key)
+
+
 def batch_topk(base: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", column: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query, key, score, rank): for every query the k base rows of highest cosine, exact, ties by key.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.statistics import quantiles
+
 
 def growth(series: DataFrame, by: str, order: str, value: str, lag: int) -> DataFrame:
     """series with ``previous`` (lag periods before), ``change`` and ``growth`` in percent; null where there is none or it is 0."""
@@ -23,7 +25,7 @@ def zscores(series: DataFrame, by: str, value: str, limit: float = 2.0, critical
 
 def outside_quartiles(series: DataFrame, by: str, value: str, reach: float = 1.5) -> DataFrame:
     """Values beyond ``reach`` interquartile ranges from the quartiles (interpolated)."""
-    q = series.groupBy(by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = quantiles(series, value, {"q1": 0.25, "q3": 0.75}, [by]).drop("n")
     out = series.join(q, by).withColumn("low", F.col("q1") - reach * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + reach * (F.col("q3") - F.col("q1")))
     return out.filter((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
@@ -67,3 +69,33 @@ def forecast_with(series: DataFrame, by: str, x: str, y: str, model, periods: in
         return pd.DataFrame({by: pd.Series([key[0]] * len(values), dtype=pdf[by].dtype), "step": np.arange(1, len(values) + 1, dtype="int32"), "forecast": np.asarray(values, dtype=float)})
 
     return series.select(by, x, y).groupBy(by).applyInPandas(run, f"{by} {kind}, step int, forecast double")
+
+
+def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(correlation, n, p_value): Pearson's r over rows that have both, and how likely one as strong is without any relation (two-sided t test).
+
+    Null with fewer than three rows or a constant; 0 for a perfect one.
+    """
+    r, n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b), F.count("*")).first()
+    p = None if r is None or r != r or n < 3 else 0.0 if abs(r) >= 1 else student_tail(abs(r) * ((n - 2) / (1 - r * r)) ** 0.5, n - 2)
+    return df.sparkSession.createDataFrame([(r, n, p)], "correlation double, n long, p_value double")
+
+
+def student_tail(t: float, freedom: int) -> float:
+    """P(|T| >= t) of Student's distribution: the regularised incomplete beta function I(x; freedom / 2, 1 / 2) by its continued fraction."""
+    from math import exp, lgamma, log
+
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    fraction = 1.0
+    for m in range(400, 0, -1):  # from the inside out
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        fraction = 1 + odd / (1 + even / fraction)
+    value = front / fraction
+    return min(1.0, max(0.0, 1 - value if swap else value))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import entities as E
 from ledgerlens.operators import graph as G
 from ledgerlens.operators import retrieval as R
 from ledgerlens.operators import timeseries as S
 from ledgerlens.plans.registry import ONE, query
+from ledgerlens.plans.registry import words as sql_words
 from ledgerlens.runtime import read
+from ledgerlens.streaming import streams as T
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +130,7 @@ def ranked_types(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH d AS (SELECT CAST(ts AS DATE) AS day, count_if(event_type = 'view') AS a, count_if(event_type = 'purchase') AS b FROM events GROUP BY 1) SELECT round(corr(a, b), 6) AS correlation, count(*) AS days FROM d")
 def metric_correlation(spark: SparkSession, d: str) -> DataFrame:
     day = read(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "purchase").alias("b"))
-    return day.agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count("*").alias("days"))
+    return S.correlation(day, "a", "b").select(F.round("correlation", 6).alias("correlation"), F.col("n").alias("days"))
 
 
 @query("WITH r AS (SELECT l_returnflag AS flag, year(l_shipdate) AS y, sum(l_extendedprice * (1 - l_discount)) AS actual, sum(l_extendedprice) * 0.95 AS budget FROM lineitem GROUP BY ALL) SELECT flag, CAST(y AS INTEGER) AS y, round(actual, 4) AS actual, round(budget, 4) AS budget, round(actual - budget, 4) AS variance, round((actual - budget) / nullif(budget, 0) * 100, 4) AS percent, CASE WHEN actual >= budget THEN 'over' ELSE 'under' END AS direction FROM r")
@@ -145,23 +148,29 @@ def ranked_insights(spark: SparkSession, d: str) -> DataFrame:
     return z.withColumn("level", F.when(F.col("weight") > 3, 3).when(F.col("weight") > 2, 2).otherwise(1)).orderBy(F.desc("level"), F.desc("weight"), "priority", "month").limit(10)
 
 
-# entities: the kinds that a pattern can tell
+# entities: names out of dictionaries, and the kinds that a pattern can tell
 
-_PERIOD = "(Q[1-4] FY[0-9]{2}|H[12] [0-9]{4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-[0-9]{2})"
-_AMOUNT = "([0-9][0-9.,]* (?:M EUR|k EUR|EUR/t|EUR|USD|MWh|kt|hours|points))"
-_METRIC = "(net debt|working capital|gross margin|EBITDA|headcount|freight cost|insurance cost|power cost per ton|kiln fuel cost|clinker output|sales volume|dust emissions|water use|overtime|rent)"
-KINDS = {"period": _PERIOD, "amount": _AMOUNT, "metric": _METRIC}
+#: What the queries below pass to the operator; companies come from the documents' own table.
+METRICS = "net debt,working capital,gross margin,EBITDA,headcount,freight cost,insurance cost,power cost per ton,kiln fuel cost,clinker output,sales volume,dust emissions,water use,overtime,rent".split(",")
+DEPARTMENTS = "finance committee,audit team,plant manager,treasurer,controller,planning desk,sales director,reporting desk".split(",")
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([("metric", x) for x in METRICS] + [("department", x) for x in DEPARTMENTS], "kind string, name string")
+    companies = read(spark, d, "documents").filter(F.col("company").isNotNull()).select(F.lit("company").alias("kind"), F.col("company").alias("name")).distinct()
+    return own.unionByName(companies)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, kind, entity): each once per chunk."""
-    one = R.one_per_chunk(read(spark, d, "chunks")).select("chunk_id", "content")
-    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all("content", F.lit(p), 1)).alias("names")) for k, p in KINDS.items()])
-    each = one.filter(F.col("content").isNotNull()).select("chunk_id", F.explode(lists).alias("x"))
-    return each.select("chunk_id", F.col("x.kind").alias("kind"), F.explode("x.names").alias("entity"))
+    return E.extract(R.one_per_chunk(read(spark, d, "chunks")).select("chunk_id", "content"), _dictionary(spark, d))
 
 
-_ENT = f"{ONE}, en AS ({' UNION ALL '.join(f'SELECT chunk_id, {chr(39)}{k}{chr(39)} AS kind, unnest(list_distinct(regexp_extract_all(content, {chr(39)}{p}{chr(39)}))) AS entity FROM one' for k, p in KINDS.items())})"
+_TICK = chr(39)
+_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x}')" for k, xs in (("metric", METRICS), ("department", DEPARTMENTS)) for x in xs) + ") t(kind, name) UNION SELECT DISTINCT 'company', company FROM documents WHERE company IS NOT NULL)"
+_ENT = f"""{ONE}, {_NAMES}, bare AS (SELECT chunk_id, list_transform({sql_words('lower(content)')}, lambda x: trim(x, '.,;:!?"()')) AS w FROM one WHERE content IS NOT NULL),
+    grams AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS gram FROM bare),
+    en AS (SELECT DISTINCT chunk_id, kind, name AS entity FROM grams JOIN names ON gram = lower(name) UNION ALL {' UNION ALL '.join(f'SELECT chunk_id, {_TICK}{k}{_TICK}, unnest(list_distinct(regexp_extract_all(content, {_TICK}{p}{_TICK}))) FROM one' for k, p in E.PATTERNS.items())})"""
 
 
 @query(f"WITH {_ENT} SELECT * FROM en")
@@ -172,12 +181,10 @@ def extract_entities(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ENT}, m AS (SELECT chunk_id, entity FROM en WHERE kind = 'metric') SELECT a.entity AS a, b.entity AS b, count(*) AS chunks FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL")
 def entity_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of metrics named in one chunk: formed within the chunk, at most the square of the few metrics."""
-    per = entities(spark, d).filter("kind = 'metric'").groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda a: F.transform(F.filter("names", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return per.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("chunks"))
+    return E.co_mentions(entities(spark, d), "metric").withColumnRenamed("texts", "chunks")
 
 
-@query(f"WITH {_ENT} SELECT entity, CASE WHEN entity LIKE 'Q%' THEN '20' || substring(entity, 6, 2) || '-' || substring(entity, 1, 2) WHEN entity LIKE 'H%' THEN substring(entity, 4, 4) || '-' || substring(entity, 1, 2) ELSE '20' || substring(entity, 5, 2) || '-' || printf('%02d', list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], substring(entity, 1, 3))) END AS normal, count(*) AS chunks FROM en WHERE kind = 'period' GROUP BY ALL")
+@query(f"WITH {_ENT} SELECT entity, CASE WHEN regexp_matches(entity, '^Q[1-4] [0-9]{{4}}$') THEN substring(entity, 4, 4) || '-' || substring(entity, 1, 2) WHEN entity LIKE '% Quarter %' THEN right(entity, 4) || '-Q' || list_position(['Fi','Se','Th','Fo'], substring(entity, 1, 2)) WHEN entity LIKE 'Q%' THEN '20' || substring(entity, 6, 2) || '-' || substring(entity, 1, 2) WHEN entity LIKE 'H%' THEN substring(entity, 4, 4) || '-' || substring(entity, 1, 2) ELSE '20' || substring(entity, 5, 2) || '-' || printf('%02d', list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], substring(entity, 1, 3))) END AS normal, count(*) AS chunks FROM en WHERE kind = 'period' GROUP BY ALL")
 def normalize_entities(spark: SparkSession, d: str) -> DataFrame:
     """Periods under one name."""
     from ledgerlens.functions.text import fiscal_period
@@ -230,23 +237,17 @@ _BUCKET = "strftime(time_bucket(INTERVAL {w}, ts), '%Y-%m-%d %H:%M')"
 
 @query(f"SELECT event_type, {_BUCKET.format(w=chr(39) + '1 hour' + chr(39))} AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    from ledgerlens.streaming.streams import tumbling
-
-    return tumbling(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return T.tumbling(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 @query("WITH e AS (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) AS b FROM events), w AS (SELECT event_type, b - to_minutes(15 * unnest([0, 1, 2, 3])) AS start FROM e) SELECT event_type, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM w GROUP BY ALL")
 def events_sliding(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = e.groupBy("event_type", F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+    return T.sliding(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 @query("WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER o + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, nth")
 def events_session(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
-    s = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events"))
-    return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+    return T.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 @query("WITH b AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS t, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), w AS (SELECT t, n, lag(t) OVER (ORDER BY t) AS pt, lag(n) OVER (ORDER BY t) AS pn FROM b) SELECT strftime(t, '%Y-%m-%d %H:%M') AS start, n AS errors FROM w WHERE n > 1 AND pn > 1 AND pt = t - INTERVAL 1 HOUR")
@@ -267,18 +268,42 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("filename").agg(F.max_by(F.struct("ingestion_timestamp", "page_count", "chunk_count"), order).alias("x"), F.count("*").alias("versions")).select("filename", "x.*", "versions")
 
 
-@query()
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value FROM events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    from ledgerlens.streaming.streams import ingest_events
+    return T.ingest_events(spark, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
-    return ingest_events(spark, d)
 
-
-@query()
+@query("SELECT event_id, any_value(event_type) AS event_type FROM events GROUP BY event_id")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    from ledgerlens.streaming.streams import distinct_events
+    return T.distinct_events(spark, d)
+
+
+#: The watermark stands ten minutes before the last event; what ends after it is still open.
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
+
+
+@query(f"SELECT event_type, {_BUCKET.format(w=chr(39) + '1 hour' + chr(39))} AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts) HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= {_CLOSED}")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return T.streamed(T.tumbling, spark, d)
+
+
+@query(f"WITH e AS (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) AS b FROM events), w AS (SELECT event_type, b - to_minutes(15 * unnest([0, 1, 2, 3])) AS start FROM e) SELECT event_type, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM w WHERE w.start + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY event_type, w.start")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return T.streamed(T.sliding, spark, d)
+
+
+@query(f"WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER o + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, nth HAVING max(ts) + INTERVAL 30 MINUTES <= {_CLOSED}")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return T.streamed(T.sessions, spark, d)
+
 
-    return distinct_events(spark, d)
+@query("SELECT category, count(*) AS total, count_if(coalesce(retrieval.pass_, false)) AS passed, round(100.0 * count_if(coalesce(retrieval.pass_, false)) / count(*), 6) AS accuracy FROM eval_results WHERE category IS NOT NULL GROUP BY category")
+def stream_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The running accuracy of each category after the last micro-batch."""
+    schema = spark.read.parquet(f"{d}/eval_results.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "eval_results.parquet").parquet(d)
+    results = source.filter("category IS NOT NULL").select("category", F.col("retrieval.pass_").alias("passed"))
+    return T.latest_per_batch(T.running_accuracy(results), "category", "accuracy").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query()

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.engine import Engine, QueryError, QueryRequest, Settings
 from ledgerlens.functions.text import citation, fiscal_period, normalize_numbers, query_keywords, word_count
 from ledgerlens.operators import chunking as C
 from ledgerlens.operators import retrieval as R
 from ledgerlens.plans.registry import ELEMENTS, LOG, ONE, POINTS, WHITE, normal, query, strip, words
-from ledgerlens.runtime import read
-from ledgerlens.sources.tables import markdown_table, sheet_block
-from ledgerlens.sources.files import reader_of
+from ledgerlens.runtime import filesystem, fresh_path, read, stored
+from ledgerlens.sources.files import append_json_lines, read_json_lines, read_workbooks, reader_of, write_workbook
+from ledgerlens.sources.tables import markdown_table
+from ledgerlens.streaming.streams import upsert_stream
 
 BOOK = "Group Performance Book Consolidated.pdf"
 
@@ -47,10 +51,21 @@ def table_markdown(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.s || chr(10) || chr(10) || b.s AS content, 2 AS page_count FROM a, b"""
 )
 def sheet_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets numbered over all of a workbook; the second is empty and left out, but keeps its number."""
-    region, nation = read(spark, d, "region"), read(spark, d, "nation")
-    sheets = [("region", region, ["r_regionkey", "r_name"], "r_regionkey"), ("empty", nation.limit(0), ["n_name"], "n_name"), ("nation", nation, ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")]
-    return sheet_block(sheets)
+    """A workbook is written and read: its sheets are numbered over all of it; the second is empty and left out, but keeps its number."""
+    region, nation = read(spark, d, "region").orderBy("r_regionkey"), read(spark, d, "nation").orderBy("n_nationkey")
+    # the tables of regions and nations do not grow with the data
+    sheets = [("region", region.select("r_regionkey", "r_name")), ("empty", nation.select("n_name").limit(0)), ("nation", nation.select("n_nationkey", "n_name", "n_regionkey"))]
+    with tempfile.TemporaryDirectory() as folder:
+        write_workbook(f"{folder}/book.xlsx", [(name, [df.columns, *map(list, df.collect())]) for name, df in sheets])
+        with open(f"{folder}/book.xlsx", "rb") as f:
+            data = bytearray(f.read())
+    path = fresh_path(spark, "books")
+    at, fs = filesystem(spark, f"{path}/book.xlsx")
+    out = fs.create(at)
+    out.write(data)
+    out.close()
+    blocks = read_workbooks(spark, path).groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("sheet_number", "content"))).alias("b"))
+    return blocks.select(F.array_join(F.transform("b", lambda x: x["content"]), "\n\n").alias("content"), F.size("b").alias("page_count"))
 
 
 @query(
@@ -64,7 +79,16 @@ def pseudo_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LOG} SELECT logged, subset_size, retrieval_accuracy, attribution_accuracy, p50_latency_ms, p95_latency_ms, errors, CAST(len(query_ids) AS INTEGER) AS n_queries FROM log")
 def load_tracking_log(spark: SparkSession, d: str) -> DataFrame:
-    log = read(spark, d, "tracking_log").distinct()
+    """The log is appended run by run as JSON lines and read back, with a blank and a broken line among them."""
+    path = fresh_path(spark, "log")
+    log = read(spark, d, "tracking_log").withColumnRenamed("logged", "timestamp")
+    append_json_lines(log.filter("subset_size < 50"), path)
+    append_json_lines(log.filter("NOT coalesce(subset_size < 50, false)"), path)
+    at, fs = filesystem(spark, f"{path}/more.json")
+    out = fs.create(at)
+    out.write(bytearray(b'\n{"timestamp": "2024-01\n'))
+    out.close()
+    log = read_json_lines(spark, path).distinct().withColumnRenamed("timestamp", "logged")
     return log.select("logged", "subset_size", "retrieval_accuracy", "attribution_accuracy", "p50_latency_ms", "p95_latency_ms", "errors", F.size("query_ids").alias("n_queries")).orderBy("logged")
 
 
@@ -76,7 +100,58 @@ def collection_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POINTS} SELECT chunk_id, word_count, source_document, page_number, chunk_index, CAST(len(embedding) AS INTEGER) AS dimension FROM points")
 def store_points(spark: SparkSession, d: str) -> DataFrame:
-    return R.points(read(spark, d, "chunks")).select("chunk_id", "word_count", "source_document", "page_number", "chunk_index", F.size("embedding").alias("dimension"))
+    """Points are written to a collection in two loads (pages after the tenth again with the second) and read back."""
+    points = R.points(read(spark, d, "chunks"))
+    path = fresh_path(spark, "collection")
+    R.store_points(points, path)
+    again = points.join(points.filter("page_number > 10").select("source_document").distinct(), "source_document", "left_semi")
+    R.store_points(again, path)
+    return R.open_collection(spark, path).select("chunk_id", "word_count", "source_document", "page_number", "chunk_index", F.size("embedding").alias("dimension"))
+
+
+@query(f"WITH {POINTS} SELECT * FROM (SELECT 1 AS step, 'missing' AS state, CAST(0 AS BIGINT) AS points UNION ALL SELECT 2, 'stored', count(*) FROM points UNION ALL SELECT 3, 'stored again', count(*) FROM points UNION ALL SELECT 4, 'refused', count(*) FROM points UNION ALL SELECT 5, 'deleted', 0)")
+def collection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """What a collection holds as it is made, filled, filled again, kept from an unconfirmed deletion, and deleted."""
+    path = fresh_path(spark, "collection")
+    engine = Engine(spark, Settings(path))
+    points = stored(R.points(read(spark, d, "chunks")), "points")
+    steps = [("missing", engine.health()["points"]), ("stored", R.store_points(points, path)), ("stored again", R.store_points(points, path))]
+    try:
+        R.delete_collection(spark, path)
+    except ValueError:
+        steps.append(("refused", engine.health()["points"]))
+    R.delete_collection(spark, path, really=True)
+    steps.append(("deleted", engine.health()["points"]))
+    return spark.createDataFrame([(i, state, n) for i, (state, n) in enumerate(steps, 1)], "step int, state string, points long")
+
+
+@query("SELECT * FROM (VALUES ('', 5, 'Query cannot be empty'), ('   ', 5, 'Query cannot be empty'), ('net debt', 0, 'top_k must be between 1 and 50'), ('net debt', 51, 'top_k must be between 1 and 50')) t(question, top_k, error)")
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that cannot be put, and why."""
+    rows = []
+    for question, k in (("", 5), ("   ", 5), ("net debt", 0), ("net debt", 51)):
+        try:
+            QueryRequest(question, k)
+        except QueryError as e:
+            rows.append((question, k, str(e)))
+    return spark.createDataFrame(rows, "question string, top_k int, error string")
+
+
+_SHORTER = ELEMENTS.replace("FROM elements WHERE", "FROM (SELECT e.* FROM elements e JOIN (SELECT filename AS f, max(item_seq) AS top FROM elements GROUP BY 1) ON f = filename WHERE NOT filename LIKE '%.pdf' OR item_seq <= top / 2) WHERE")
+
+
+@query(f"WITH {_SHORTER}, texts AS (SELECT filename, page, string_agg(text, ' ' ORDER BY item_seq) AS content FROM (SELECT DISTINCT filename, item_seq, page, text FROM filled) WHERE {strip('text')} <> '' GROUP BY filename, page), n AS (SELECT *, len({words('content')}) AS n FROM texts), c AS (SELECT filename, CAST(sum(CASE WHEN n <= 500 THEN 1 ELSE CAST(ceil(n / 450) AS BIGINT) END) AS BIGINT) AS chunks FROM n WHERE n > 0 GROUP BY filename) SELECT filename AS source_document, chunks FROM c")
+def reingest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive as a stream and, the PDF files among them, once more in a shorter version: the chunks of the longer one are gone."""
+    elements = read(spark, d, "elements")
+    top = elements.groupBy("filename").agg(F.max("item_seq").alias("top"))
+    shorter = elements.filter(F.col("filename").endswith(".pdf")).join(top, "filename").filter("item_seq <= top / 2").drop("top")
+    source, path, state = fresh_path(spark, "arriving"), fresh_path(spark, "collection"), fresh_path(spark, "state")
+    schema = "chunk_id string, source_document string, page_number int, chunk_index int, content string"
+    for part in (elements, shorter):
+        C.chunk_by_page(part).select("chunk_id", F.col("filename").alias("source_document"), "page_number", "chunk_index", "content").coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark.readStream.schema(schema).parquet(source), path, state).awaitTermination()
+    return R.open_collection(spark, path).groupBy("source_document").agg(F.count("*").alias("chunks"))
 
 
 @query(f"WITH {POINTS} SELECT count(*) AS points, CAST(min(len(embedding)) AS INTEGER) AS least_dimension, CAST(max(len(embedding)) AS INTEGER) AS most_dimension, CAST(sum(word_count) AS BIGINT) AS words FROM points")
@@ -171,6 +246,17 @@ def table_aware_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.table_aware_chunks(read(spark, d, "elements"))
 
 
+@query(
+    f"""WITH {ELEMENTS}, k AS (SELECT DISTINCT * FROM filled WHERE {strip('text')} <> ''), r AS (SELECT *, coalesce(sum(CASE WHEN is_table THEN 1 ELSE 0 END) OVER (PARTITION BY filename ORDER BY item_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM k),
+    t AS (SELECT filename, run, page, min(item_seq) AS item_seq, string_agg(text, ' ' ORDER BY item_seq) AS content FROM r WHERE NOT coalesce(is_table, false) GROUP BY ALL), n AS (SELECT *, len({words('content')}) AS n FROM t)
+    SELECT filename, 'table' AS chunk_type, page AS page_number, item_seq, CAST(1 AS BIGINT) AS parts FROM k WHERE is_table
+    UNION ALL SELECT filename, 'text', page, item_seq, CASE WHEN n <= 500 THEN 1 ELSE CAST(ceil(n / 450) AS BIGINT) END FROM n WHERE n > 0"""
+)
+def typed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as chunks of tables and of the text between them."""
+    return C.typed_chunks(read(spark, d, "elements")).groupBy("filename", "chunk_type", "page_number", "item_seq").agg(F.count("*").alias("parts"))
+
+
 @query(
     f"""WITH {ELEMENTS} SELECT filename, item_seq, page AS page_number, {strip("string_split(string_split(text, chr(10))[1], '|')[2]")} AS label, len(string_split(string_split(text, chr(10))[1], '|')) - 2 AS columns,
     len(string_split(rtrim(text, chr(10)), chr(10))) - 2 AS rows FROM filled WHERE is_table AND text LIKE '|%'"""

@@ -16,6 +16,8 @@ from ledgerlens.runtime import read
 #: Limits the results are held against, and how the questions should be distributed.
 RETRIEVAL_TARGET, ATTRIBUTION_TARGET, P50_LIMIT, P95_LIMIT, EARLY_WARNING = 90.0, 95.0, 5000.0, 15000.0, 70.0
 DIFFICULTIES = {"easy": 20, "medium": 20, "hard": 10}
+#: How many questions of each category the set should have.
+CATEGORIES = {"unit_costs": 12, "profitability": 8, "cash_and_debt": 8, "staffing": 6, "overheads": 8, "plant_safety": 8}
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +145,7 @@ _FIELDS = "id question expected_answer expected_keywords source_document expecte
 
 @query(
     f"""SELECT 'count' AS check_name, count(*) >= 50 AS ok FROM questions UNION ALL SELECT 'fields', count_if({" OR ".join(f + " IS NULL" for f in _FIELDS)}) = 0 FROM questions
-    UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT id) FROM questions UNION ALL SELECT 'categories', count(DISTINCT category) = 6 FROM questions
+    UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT id) FROM questions UNION ALL SELECT 'categories', count(DISTINCT category) = {len(CATEGORIES)} AND {" AND ".join(f"count_if(category = '{k}') = {n}" for k, n in CATEGORIES.items())} FROM questions
     UNION ALL SELECT 'difficulties', count_if(difficulty = 'easy') = 20 AND count_if(difficulty = 'medium') = 20 AND count_if(difficulty = 'hard') = 10 FROM questions
     UNION ALL SELECT 'pages', count_if(coalesce(expected_page_number, 0) < 1) = 0 FROM questions UNION ALL SELECT 'keywords', count_if(coalesce(len(expected_keywords), 0) = 0) = 0 FROM questions
     UNION ALL SELECT 'sources', count(DISTINCT source_document) >= 1 FROM questions"""
@@ -152,8 +154,9 @@ def validate_ground_truth(spark: SparkSession, d: str) -> DataFrame:
     """One row for each check, from one pass."""
     null = reduce(lambda a, b: a | b, [F.col(f).isNull() for f in _FIELDS])
     hard = reduce(lambda a, b: a & b, [F.count_if(F.col("difficulty") == k) == n for k, n in DIFFICULTIES.items()])
+    exact = reduce(lambda a, b: a & b, [F.count_if(F.col("category") == k) == n for k, n in CATEGORIES.items()], F.countDistinct("category") == len(CATEGORIES))
     checks = {
-        "count": F.count("*") >= 50, "fields": F.count_if(null) == 0, "unique_ids": F.count("*") == F.countDistinct("id"), "categories": F.countDistinct("category") == 6, "difficulties": hard,
+        "count": F.count("*") >= 50, "fields": F.count_if(null) == 0, "unique_ids": F.count("*") == F.countDistinct("id"), "categories": exact, "difficulties": hard,
         "pages": F.count_if(F.coalesce("expected_page_number", F.lit(0)) < 1) == 0, "keywords": F.count_if(F.coalesce(F.size("expected_keywords"), F.lit(0)) <= 0) == 0, "sources": F.countDistinct("source_document") >= 1,
     }
     one = read(spark, d, "questions").agg(*[c.alias(k) for k, c in checks.items()])

@@ -14,7 +14,8 @@ from ledgerlens.operators import ranking as K
 from ledgerlens.operators import retrieval as R
 from ledgerlens.plans.registry import ONE, query
 from ledgerlens.plans.registry import words as sql_words
-from ledgerlens.runtime import read, stored
+from ledgerlens.operators.vectorindex import VectorIndex
+from ledgerlens.runtime import fresh_path, read, stored
 
 
 def _vector(spark: SparkSession, d: str) -> list[float]:
@@ -67,7 +68,7 @@ def _used(spark: SparkSession, d: str) -> DataFrame:
 )
 def filtered_topk_range(spark: SparkSession, d: str) -> DataFrame:
     """Filters on type and date (of the first copy) before the ranking; what holds for every copy is filtered in the scan."""
-    vector = _used(spark, d).orderBy("chunk_id").select("embedding").first()[0]
+    vector = _first_vector(spark, d)
     pdf = read(spark, d, "chunks").filter(F.col("chunk_id").isNotNull() & (F.lower("metadata.doc_type") == "pdf"))
     one = pdf.groupBy("chunk_id").agg(F.min("metadata.ingestion_timestamp").alias("since"), F.first("embedding").alias("embedding"), F.first("metadata.filename").alias("source_document"), F.first("page_number").alias("page_number"))
     kept = one.filter(F.substring("since", 1, 10).between("2024-03-01", "2025-03-31"))
@@ -78,7 +79,7 @@ def filtered_topk_range(spark: SparkSession, d: str) -> DataFrame:
 def result_projection(spark: SparkSession, d: str) -> DataFrame:
     """Every scored row: negative scores and missing pages are flagged, never an error."""
     used = _used(spark, d)
-    vector = F.array(*[F.lit(float(x)) for x in used.orderBy("chunk_id").select("embedding").first()[0]])
+    vector = F.array(*[F.lit(float(x)) for x in _first_vector(spark, d)])
     score = F.round(cosine(F.col("embedding"), vector), 6)
     return used.select("chunk_id", score.alias("score"), F.col("page_number").isNull().alias("page_missing"), (~score.between(0, 1)).alias("out_of_range"))
 
@@ -89,15 +90,29 @@ def result_projection(spark: SparkSession, d: str) -> DataFrame:
 )
 def cited_answer(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the five chunks nearest to one vector, with citations."""
-    used = _used(spark, d)
-    vector = used.orderBy("chunk_id").select("embedding").first()[0]
-    top = R.cosine_topk(used, vector, key="chunk_id")
+    top = R.nearest_rows(read(spark, d, "chunks"), _first_vector(spark, d))
     return top.select("chunk_id", "score", citation(F.col("content"), F.col("metadata.filename"), F.col("page_number"), F.col("chunk_index")).alias("text"))
 
 
-@query("WITH k AS (SELECT e.label, e.vec_id FROM embeddings e WHERE vec_id % 100 = 0) SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM k WHERE k.vec_id = doc_id)")
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    """The vector of the first chunk that has one; copies have the same, so none need be dropped."""
+    rows = read(spark, d, "chunks").select("chunk_id", "embedding").filter(F.col("chunk_id").isNotNull() & usable(F.col("embedding")))
+    return rows.orderBy("chunk_id").limit(1).first()[1]
+
+
+@query(f"WITH {_S0} SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5", name="indexed_topk")
+def _indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Through the index, all of whose cells are visited here, so that the answer is the exact one."""
+    index = VectorIndex.build(read(spark, d, "embeddings"), fresh_path(spark, "index"))
+    found = index.search(_vector(spark, d), k=6, probes=len(index.centroids)).filter("vec_id <> 0")
+    return found.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", "score")
+
+
+@query(f"WITH {_MULTI} SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM r WHERE r.vec_id = doc_id AND rank <= 5)")
 def docs_with_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = read(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("doc_id"))
+    """Documents whose number is among the neighbours that multi_query_topk finds."""
+    base = read(spark, d, "embeddings")
+    hits = R.batch_topk(base, base.filter("vec_id % 100 = 0")).select(F.col("vec_id").alias("doc_id"))
     return read(spark, d, "documents").select("doc_id", "source").join(hits, "doc_id", "left_semi")
 
 
@@ -261,7 +276,7 @@ def multi_vector_rrf(spark: SparkSession, d: str) -> DataFrame:
     return K.best(K.reciprocal_ranks(lists, key="vec_id"), "qid", "score", "vec_id", 5)
 
 
-#: Words of questions and others for them.
+#: Words of questions and others for them: what the query below passes to the operator.
 SYNONYMS = (("rent", "lease"), ("headcount", "staff"), ("kiln", "furnace"), ("budget", "plan"), ("cost", "expense"))
 
 
@@ -278,25 +293,23 @@ SYNONYMS = (("rent", "lease"), ("headcount", "staff"), ("kiln", "furnace"), ("bu
 )
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Every question and its variations with another word, fused by rank."""
-    asked = _questions(spark, d).select("qid", "question")
     table = spark.createDataFrame(list(SYNONYMS), "word string, other string")
-    from pyspark.sql import Window
+    return K.expanded_search(_texts(spark, d).select("chunk_id", "content"), _questions(spark, d).select("qid", "question"), table, k=5)
 
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("word"))
-    more = asked.join(F.broadcast(table), F.array_contains(words(F.col("question")), F.col("word"))).select((F.col("qid") * 10 + nth).alias("qid"), F.expr("replace(question, word, other)").alias("question"))
-    every = asked.select((F.col("qid") * 10).alias("qid"), "question").unionByName(more)
-    ranked = K.best(K.bm25(_texts(spark, d).select("chunk_id", "content"), every), "qid", "score", "chunk_id", 10)
-    return K.best(K.reciprocal_ranks([ranked.withColumn("qid", F.floor(F.col("qid") / 10).cast("int"))]), "qid", "score", "chunk_id", 5)
+
+_NAMES = "names AS (SELECT DISTINCT lower(company) AS name FROM documents WHERE company IS NOT NULL UNION SELECT DISTINCT lower(regexp_extract(company, '^[^ ]+')) FROM documents WHERE company IS NOT NULL UNION SELECT lower(n_name) FROM nation)"
 
 
 @query(
-    """WITH f AS (SELECT id, regexp_matches(lower(question), '(correlat|relat|connect|depend|between|together)') AS graph_words, len(regexp_extract_all(question, '[A-Z][a-z]+(or|ar|al|ia|ra|et|und|un|res|sk|ik|na|ka|oc)')) >= 2 AS entities,
-    regexp_matches(lower(question), '(through|via|leads to|because of|caused)') AS hops FROM questions) SELECT id, CASE WHEN graph_words OR entities OR hops THEN 'graph' ELSE 'vector' END AS route FROM f"""
+    f"""WITH {_NAMES}, hits AS (SELECT id, count(DISTINCT name) AS n FROM questions JOIN names ON list_contains(list_transform({sql_words('lower(question)')}, lambda x: trim(x, '.,;:!?"()')), name) GROUP BY id),
+    f AS (SELECT id, regexp_matches(lower(question), '(correlat|relat|connect|depend|between|together)') AS graph_words, coalesce(n, 0) >= 2 AS entities,
+    regexp_matches(lower(question), '(through|via|leads to|because of|caused)') AS hops FROM questions LEFT JOIN hits USING (id)) SELECT id, CASE WHEN graph_words OR entities OR hops THEN 'graph' ELSE 'vector' END AS route FROM f"""
 )
 def query_router(spark: SparkSession, d: str) -> DataFrame:
-    q, low = F.col("question"), F.lower("question")
-    graph = low.rlike("(correlat|relat|connect|depend|between|together)") | low.rlike("(through|via|leads to|because of|caused)") | (F.regexp_count(q, F.lit("[A-Z][a-z]+(or|ar|al|ia|ra|et|und|un|res|sk|ik|na|ka|oc)")) >= 2)
-    return read(spark, d, "questions").select("id", F.when(graph, "graph").otherwise("vector").alias("route"))
+    """Questions with words of relation, of several hops, or with two known names go to the graph."""
+    company = read(spark, d, "documents").filter(F.col("company").isNotNull()).select("company").distinct()
+    names = company.select(F.lower("company").alias("name")).union(company.select(F.lower(F.regexp_extract("company", "^[^ ]+", 0)))).union(read(spark, d, "nation").select(F.lower("n_name")))
+    return K.route(_questions(spark, d).select(F.col("qid").alias("id"), "question"), names.distinct())
 
 
 @query()
@@ -402,3 +415,33 @@ def fusion_grid(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("alpha").agg(F.count("*").alias("questions"), F.count_if("ok").alias("passed"))
 
 
+K1S, BS = (1.2, 1.7, 2.0), (0.4, 0.6, 0.75)
+
+
+@query(
+    f"""WITH {_BM25}, gr AS (SELECT unnest({list(K1S)}::DOUBLE[]) AS k1), gb AS (SELECT unnest({list(BS)}::DOUBLE[]) AS b),
+    sc AS (SELECT k1, b, qid, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))), 6) AS score FROM post JOIN dfs USING (term) JOIN qt USING (term), tot, gr, gb GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, chunk_id) AS rank FROM sc),
+    pages AS (SELECT k1, b, qid, bool_or(abs(page_number - expected_page_number) <= 1) AS ok FROM r JOIN one USING (chunk_id) JOIN questions q ON q.id = qid WHERE rank <= 5 GROUP BY ALL)
+    SELECT k1, b, count(*) AS questions, count_if(ok) AS passed FROM pages GROUP BY ALL"""
+)
+def bm25_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Which k1 and b find the expected page most often: the postings are counted once for all of them."""
+    scored = K.bm25_settings(_texts(spark, d).select("chunk_id", "content"), _questions(spark, d), [(k1, b) for k1 in K1S for b in BS])
+    top = K.best(scored.withColumn("by", F.struct("k1", "b", "qid")), "by", "score", "chunk_id", 5).select("k1", "b", "qid", "chunk_id")
+    rows = top.join(_texts(spark, d).select("chunk_id", "page_number"), "chunk_id").join(F.broadcast(_questions(spark, d).select("qid", "expected_page_number")), "qid")
+    per = rows.groupBy("k1", "b", "qid").agg(F.bool_or(F.abs(F.col("page_number") - F.col("expected_page_number")) <= 1).alias("ok"))
+    return per.groupBy("k1", "b").agg(F.count("*").alias("questions"), F.count_if("ok").alias("passed"))
+
+
+@query(
+    f"WITH {_BM25}, {{}}, keys AS (SELECT id AS qid, unnest(expected_keywords) AS k FROM questions), hit AS (SELECT DISTINCT qid, chunk_id FROM keys JOIN (SELECT * FROM bm20 JOIN one USING (chunk_id) WHERE rank <= 5) r USING (qid) WHERE contains(lower(coalesce(content, '')), lower(k))), n AS (SELECT qid, count(*) AS n FROM hit GROUP BY qid) SELECT id AS qid, coalesce(n, 0) AS results, round(coalesce(n, 0) / len(expected_keywords), 6) AS ratio FROM questions LEFT JOIN n ON qid = id WHERE len(expected_keywords) > 0".replace(", {}", "")
+)
+def quick_keyword_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Results that hold any keyword, over the number of keywords: quick, and no recall."""
+    asked = _questions(spark, d).select("qid", "expected_keywords").filter(F.size("expected_keywords") > 0)
+    found = _bm25(spark, d, 5).join(_texts(spark, d).select("chunk_id", "content"), "chunk_id").select("qid", F.lower(F.coalesce("content", F.lit(""))).alias("t"))
+    rows = F.broadcast(asked).join(found, "qid", "left")
+    hit = F.coalesce(F.exists("expected_keywords", lambda k: F.contains(F.col("t"), F.lower(k))), F.lit(False))
+    per = rows.groupBy("qid", F.size("expected_keywords").alias("n")).agg(F.count_if(hit).alias("results"))
+    return per.select("qid", "results", F.round(F.col("results") / F.col("n"), 6).alias("ratio"))

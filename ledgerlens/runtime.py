@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,20 +14,45 @@ WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x
 WORD = f"[^{WHITE}]+"
 
 
+#: Tables this process has written into shared folders, until they are released.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, a local one (tests)."""
+    """The folder named in spark.checkpoint.dir. Only a local master may leave it unset: then it is a folder of this process, removed with it."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
     own = spark.conf.get("ledgerlens.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, own, True)
         spark.conf.set("ledgerlens.shared.dir", own)
     return own
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written so far in this session: when the results that read them are done. Returns how many there were."""
+    mine = [x for x in _MADE if x[0] is spark]
+    for _, path in mine:
+        at, fs = filesystem(spark, path)
+        fs.delete(at, True)
+    _MADE[:] = [x for x in _MADE if x[0] is not spark]
+    return len(mine)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

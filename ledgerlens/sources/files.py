@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.runtime import filesystem
+
 #: Suffixes and their readers.
 READERS = {".pdf": "pdf", ".xlsx": "excel", ".xls": "excel"}
 ELEMENTS = "filename string, item_seq int, text string, page_no int, is_table boolean"
@@ -107,14 +109,46 @@ def workbook_elements(sheets: DataFrame) -> DataFrame:
     return sheets.filter("sheet_number > 0").select("filename", F.col("sheet_number").alias("item_seq"), F.col("content").alias("text"), F.col("sheet_number").alias("page_no"), F.lit(True).alias("is_table"))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
-    """Rows of JSON lines by time; a missing file has none, blank and broken lines are left out."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    at, fs = filesystem(spark, path)
+    return spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path) if fs.exists(at) else None
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str = LOG, order: str = "timestamp") -> DataFrame:
+    """Rows of JSON lines by time; a missing file has none. Blank lines are no rows; lines that cannot be read are left to broken_json_lines."""
+    rows = _json_lines(spark, path, schema)
+    if rows is None:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.filter(F.col("timestamp").isNotNull()).orderBy("timestamp") if "timestamp" in rows.columns else rows
+    rows = rows.filter(F.col("_broken").isNull()).drop("_broken")
+    return rows.filter(F.col(order).isNotNull()).orderBy(order) if order in rows.columns else rows
+
+
+def broken_json_lines(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
+    """(line): the lines that read_json_lines leaves out because they are no JSON of this schema."""
+    rows = _json_lines(spark, path, schema)
+    if rows is None:
+        return spark.createDataFrame([], "line string")
+    # the column alone cannot be asked for, so another is read with it
+    return rows.select(F.struct("*").alias("r")).select(F.col("r._broken").alias("line")).filter(F.col("line").isNotNull())
+
+
+def write_workbook(path: str, sheets: list[tuple[str, list[list]]]) -> None:
+    """An xlsx workbook of (name, rows) with texts and numbers: a file of the size a reader opens."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    ns = f'xmlns="{_NS[1:-1]}" xmlns:r="{_REL[1:].split("}")[0]}"'
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        return f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        book = "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="r{i}"/>' for i, (name, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>{book}</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, (_, rows) in enumerate(sheets, 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>" + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows) + "</sheetData></worksheet>")
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:

@@ -32,9 +32,25 @@ def tumbling(events: DataFrame, length: str = "1 hour") -> DataFrame:
     return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "total")
 
 
+def sliding(events: DataFrame, length: str = "1 hour", step: str = "15 minutes") -> DataFrame:
+    """(event_type, start, n) of windows that overlap."""
+    w = events.groupBy("event_type", F.window("ts", length, step).alias("w")).agg(F.count("*").alias("n"))
+    return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(user_id, start, events): runs of a user's events with no longer gap between them. Events without user or time belong to none."""
+    s = events.filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull()).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
+    return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+def streamed(kind, spark: SparkSession, d: str, late: str = "10 minutes") -> DataFrame:
+    """One of the windows above over the stream. Closed ones only: those the watermark has not passed stay open and are not written."""
+    return run_once(kind(event_stream(spark, d).withWatermark("ts", late)), kind.__name__)
+
+
 def streamed_tumbling(spark: SparkSession, d: str, late: str = "10 minutes") -> DataFrame:
-    """Closed windows only: those the watermark has not passed stay open and are not written."""
-    return run_once(tumbling(event_stream(spark, d).withWatermark("ts", late)), "tumbling")
+    return streamed(tumbling, spark, d, late)
 
 
 def ingest_events(spark: SparkSession, d: str) -> DataFrame:
@@ -46,18 +62,34 @@ def distinct_events(spark: SparkSession, d: str, late: str = "1 hour") -> DataFr
     return run_once(event_stream(spark, d).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "distinct")
 
 
-def upsert_stream(points: DataFrame, path: str, checkpoint: str):
-    """Keep the collection at path up to date: each micro-batch replaces the points it brings; a repeated batch changes nothing.
+def upsert_stream(points: DataFrame, path: str, checkpoint: str, document: str = "source_document"):
+    """Keep the collection at path up to date: each micro-batch replaces the documents it brings; a repeated batch changes nothing.
 
-    ``points`` streams rows of operators.retrieval.points; the newest row of a chunk_id in a batch wins.
+    ``points`` streams rows of operators.retrieval.points, all chunks of a document version in one batch (a version is one
+    file, and a file is never split over batches). Chunks of an earlier, longer version are gone. Without the
+    column ``document``, points are replaced one by one; one row of a chunk_id in a batch wins.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        store_points(batch.dropDuplicates(["chunk_id"]), path)
+        store_points(batch.dropDuplicates(["chunk_id"]), path, document)
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_per_batch(stream: DataFrame, key: str, name: str) -> DataFrame:
+    """Run a stream of updates over what is there; of each key the row of its last micro-batch."""
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).select(key, "batch", *[c for c in stream.columns if c != key])
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("x"))
+    return last.select(key, "x.*")
+
+
 def running_accuracy(results: DataFrame) -> DataFrame:
     """(category, total, passed, accuracy) so far, one row per category and micro-batch that brings results of it.
 

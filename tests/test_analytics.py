@@ -72,6 +72,8 @@ def test_json_lines(spark, tmp_path):
     files.append_json_lines(rows.limit(1), str(path))
     (path / "more.json").write_text('\n{"timestamp": "2023-12-31"}\nbroken\n')
     assert [r.timestamp for r in files.read_json_lines(spark, str(path)).collect()] == ["2023-12-31", "2024-01-01", "2024-01-02", "2024-01-02"]
+    assert [r.line for r in files.broken_json_lines(spark, str(path)).collect()] == ["broken"]
+    assert files.broken_json_lines(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_hashing_model():
@@ -94,3 +96,48 @@ def test_forecast_by_any_model(spark):
     df = spark.createDataFrame([("a", float(i), float(i)) for i in range(8)] + [("short", 1.0, 1.0), ("short", 2.0, None)], "k string, t double, v double")
     got = [tuple(r) for r in S.forecast_with(df, "k", "t", "v", lambda x, y, n: [y[-1]] * n, periods=2).collect()]
     assert sorted(got) == [("a", 1, 7.0), ("a", 2, 7.0)]
+
+
+def test_written_workbooks_are_read(spark, tmp_path):
+    files.write_workbook(str(tmp_path / "w.xlsx"), [("A & B", [["x", "y"], [1, "<&>"], [None, " 2 "]]), ("none", [])])
+    rows = files.read_workbooks(spark, str(tmp_path)).collect()
+    assert [(r.sheet_number, r.content) for r in rows] == [(1, "## Sheet 1: A & B\n| x | y |\n|---|---|\n| 1 | <&> |\n|  |  2  |")]
+
+
+def test_entities_of_dictionaries_and_forms(spark):
+    from ledgerlens.operators import entities as E
+
+    texts = spark.createDataFrame([("a", "Net  Debt of (Orrivik Lime), Q3 FY24: 12.5 M EUR; Third Quarter 2024"), ("b", None), ("c", ""), (None, "net debt"), ("d", "debt net lime")], "chunk_id string, content string")
+    names = spark.createDataFrame([("metric", "net debt"), ("company", "Orrivik Lime"), ("company", None), ("company", " ")], "kind string, name string")
+    got = {tuple(r) for r in E.extract(texts, names).collect()}
+    assert got == {("a", "metric", "net debt"), ("a", "company", "Orrivik Lime"), ("a", "period", "Q3 FY24"), ("a", "period", "Third Quarter 2024"), ("a", "amount", "12.5 M EUR")}
+    assert {tuple(r) for r in E.extract(texts, names.limit(0)).collect()} == {x for x in got if x[1] in E.PATTERNS}
+    assert [tuple(r) for r in E.co_mentions(E.extract(texts, names)).filter("a = 'Orrivik Lime'").collect()]
+
+
+def test_periods_spelt_out(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions.text import fiscal_period
+
+    forms = {"Q3 FY24": "2024-Q3", "Q3 2024": "2024-Q3", "Q3 FY2024": "2024-Q3", "Third Quarter 2024": "2024-Q3", "third quarter of FY2024": "2024-Q3", "H1 2026": "2026-H1", "May-21": "2021-05", "2021-05": "2021-05", "Fifth Quarter 2024": None}
+    rows = spark.createDataFrame([(k,) for k in forms], "p string").select("p", fiscal_period(F.col("p")).alias("n")).collect()
+    assert {r.p: r.n for r in rows} == forms
+
+
+def test_correlation_and_how_likely(spark):
+    df = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate([1, 3, 2, 5, 4, 6, 5])] + [(1.0, None)], "a double, b double")
+    r = S.correlation(df, "a", "b").first()
+    assert (round(r.correlation, 4), r.n) == (0.8729, 7) and 0.005 < r.p_value < 0.02
+    assert abs(S.student_tail(2.228, 10) - 0.05) < 1e-4 and abs(S.student_tail(1.0, 1) - 0.5) < 1e-9 and S.student_tail(0.0, 5) == 1.0
+    assert S.correlation(df.limit(2), "a", "b").first().p_value is None
+
+
+def test_tables_are_released(spark):
+    from ledgerlens import runtime
+
+    df = runtime.stored(spark.range(3), "mine")
+    path = runtime._MADE[-1][1]
+    at, fs = runtime.filesystem(spark, path)
+    assert df.count() == 3 and fs.exists(at)
+    assert runtime.release(spark) >= 1 and not fs.exists(at) and runtime.release(spark) == 0

@@ -22,3 +22,37 @@ def test_ingest_and_query(spark, tmp_path):
 def test_bad_questions(spark, tmp_path, args):
     with pytest.raises(QueryError):
         Engine(spark, Settings(str(tmp_path))).query(*args)
+
+
+def test_graph_analysis_forecast_and_insights(spark, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "points")))
+    rows = [(f"{k}.pdf", i, f"net debt of Orrivik Lime rose in part {i}", 3, False) for k in "ab" for i in range(2)]
+    engine.ingest_elements(spark.createDataFrame(rows, ELEMENTS))
+    names = spark.createDataFrame([("metric", "net debt"), ("company", "Orrivik Lime"), ("metric", "rent")], "kind string, name string")
+    got = engine.query_with_graph("net debt", names, top_k=1)
+    assert got["graph_enhanced"] and got["results"][0]["graph_context"] == {"entities": ["Orrivik Lime", "net debt"], "relationships": ["Orrivik Lime - net debt (2 chunks)"]}
+    series = spark.createDataFrame([("rent", i, 10.0 + i) for i in range(12)] + [("short", 0, 1.0)], "key string, quarter int, value double")
+    analysis = engine.analyze("how did rent grow", series, "key", "quarter", "value")
+    assert analysis["workflow_status"] == "success" and {f["key"]: f["change"] for f in analysis["findings"]} == {"rent": 4.0, "short": None} and analysis["sources"]
+    assert engine.analyze("rent", series.drop("value"), "key", "quarter", "value")["workflow_status"] == "fallback"
+    ahead = engine.forecast(series, "key", "quarter", "value", 2)
+    assert [round(r["forecast"], 6) for r in ahead["forecast"]] == [22.0, 23.0] and len(ahead["historical_data"]) == 13
+    odd = series.union(spark.createDataFrame([("rent", 12, 900.0)], series.schema))
+    assert engine.insights(odd, "key", "quarter", "value")["insights"][0]["summary"].startswith("rent 12")
+    for bad in (lambda: engine.forecast(series, "key", "quarter", "value", 0), lambda: engine.insights(series, "key", "quarter", "value", 0)):
+        with pytest.raises(QueryError):
+            bad()
+
+
+def test_models_are_made_once_in_a_worker():
+    from ledgerlens.functions import embedding
+
+    made = []
+
+    def load():
+        made.append(1)
+        return lambda texts: [[0.0]] * len(texts)
+
+    assert embedding.model_of("a", load) is embedding.model_of("a", load) and len(made) == 1
+    embedding.model_of("b", load)
+    assert len(made) == 2 and list(embedding._MODELS) == ["b"]

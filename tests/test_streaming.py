@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.retrieval import open_collection
 from ledgerlens.runtime import read
 from ledgerlens.streaming import streams as S
 
@@ -27,7 +28,7 @@ def test_upsert_by_micro_batch(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2)], schema).write.mode("append").parquet(source)
     run()
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+    assert sorted(tuple(r) for r in open_collection(spark, out).collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
 def test_running_accuracy_keeps_its_state(spark, tmp_path):
@@ -46,3 +47,31 @@ def test_running_accuracy_keeps_its_state(spark, tmp_path):
     spark.createDataFrame([("a", True), ("a", True)], schema).write.mode("append").parquet(source)
     run()
     assert seen == {"a": (4, 3, 75.0), "b": (1, 0, 0.0)}
+
+
+def test_sliding_windows_and_sessions_as_streams(spark, data):
+    events = read(spark, data, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for kind in (S.sliding, S.sessions):
+        batch, stream = {tuple(r) for r in kind(events).collect()}, {tuple(r) for r in S.streamed(kind, spark, data).collect()}
+        assert stream and stream < batch
+
+
+def test_late_events_extend_no_closed_session(spark, tmp_path):
+    """Two batches: the second brings an event behind the watermark, which is dropped, and one that opens a new session."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "user_id long, ts timestamp"
+
+    def add(*rows):
+        spark.createDataFrame([(u, t) for u, t in rows], "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = S.sessions(spark.readStream.schema(schema).parquet(source).withWatermark("ts", "10 minutes"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    add((1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:20:00"), (2, "2024-01-01 14:00:00"))
+    run()
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(1, "2024-01-01 10:00:00", 2)]
+    add((1, "2024-01-01 10:30:00"), (1, "2024-01-01 14:10:00"), (2, "2024-01-01 18:00:00"))
+    run()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "2024-01-01 10:00:00", 2), (1, "2024-01-01 14:10:00", 1), (2, "2024-01-01 14:00:00", 1)]
