@@ -76,20 +76,41 @@ def shingles(text: str, size: int, hashes: WordHashes) -> np.ndarray:
 
 
 def sketch(members: np.ndarray, bins: int) -> np.ndarray:
-    """The fast similarity sketch of a non-empty set of 64-bit hashes."""
+    """The fast similarity sketch of a non-empty set of 64-bit hashes.
+
+    Rounds are computed several at a time: a later one never changes a bin that an earlier one has filled.
+    """
     if bins > 1 << 11:
         raise ValueError("at most 2048 bins: the round takes 12 bits")
     values = np.full(bins, _EMPTY)
-    for i in range(2 * bins):
-        h = mix(members, i + 1)
-        bin_of = (h % np.uint64(bins)).astype(np.int64) if i < bins else np.full(len(members), i - bins)
-        ranked = (np.uint64(i) << np.uint64(52)) | (h >> np.uint64(12))
-        np.minimum.at(values, bin_of, ranked)
+    at, step = 0, int(min(bins, max(1, np.ceil(bins * (np.log(bins) + 1) / len(members)))))
+    while at < bins:
+        rounds = np.arange(at, min(bins, at + step), dtype=np.uint64)
+        h = mix_rounds(members, rounds)
+        np.minimum.at(values, (h % np.uint64(bins)).astype(np.int64).ravel(), ((rounds[:, None] << np.uint64(52)) | (h >> np.uint64(12))).ravel())
         if values.max() != _EMPTY:
-            break
+            return values
+        at, step = at + step, max(1, min(step, 65_536 // len(members)))
+    empty = np.flatnonzero(values == _EMPTY)
+    for some in np.array_split(empty, max(1, len(empty) * len(members) // 65_536)):
+        rounds = (some + bins).astype(np.uint64)
+        values[some] = ((rounds << np.uint64(52)) | (mix_rounds(members, rounds) >> np.uint64(12)).min(axis=1)) if len(some) else values[some]
     return values
 
 
+def mix_rounds(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """mix(x, i + 1) for each round i, a row each."""
+    with np.errstate(over="ignore"):
+        seeds = (rounds + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+        h = x[None, :] ^ seeds[:, None]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def bands_for(threshold: float) -> tuple[int, int]:
     """(bands, rows): of at most MAX_BANDS bands the longest rows that miss a pair at the threshold with MISS at most.
 
