@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.vectors import usable
 from ledgerlens.operators.retrieval import batch_topk, cosine_topk
@@ -43,8 +44,9 @@ class VectorIndex:
         self.spark, self.path = spark, path
         at, fs = filesystem(spark, f"{path}/centroids.json")
         stream = fs.open(at)
-        self.centroids = np.array(json.loads(bytes(stream.readAllBytes()).decode()))
+        kept = json.loads(bytes(stream.readAllBytes()).decode())
         stream.close()
+        self.centroids, self.schema = np.array(kept["centroids"]), StructType.fromJson(kept["schema"])
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, column: str = "embedding", cells: int | None = None) -> VectorIndex:
@@ -69,12 +71,12 @@ class VectorIndex:
         laid.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
         at, fs = filesystem(spark, f"{path}/centroids.json")
         out = fs.create(at, True)
-        out.write(bytearray(json.dumps(centroids.tolist()).encode()))
+        out.write(bytearray(json.dumps({"centroids": centroids.tolist(), "schema": laid.schema.jsonValue()}).encode()))
         out.close()
         return cls(spark, path)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
     def near(self, vector: list[float], probes: int) -> list[int]:
         """The cells whose centroids are nearest."""

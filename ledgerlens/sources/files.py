@@ -110,8 +110,13 @@ def workbook_elements(sheets: DataFrame) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """(line, r): the lines that are not blank, and what they say; r._broken is the line where it cannot be read."""
     at, fs = filesystem(spark, path)
-    return spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path) if fs.exists(at) else None
+    if not fs.exists(at):
+        return None
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.select(F.col("value").alias("line"), parsed.alias("r"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = LOG, order: str = "timestamp") -> DataFrame:
@@ -119,7 +124,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = LOG, order: st
     rows = _json_lines(spark, path, schema)
     if rows is None:
         return spark.createDataFrame([], schema)
-    rows = rows.filter(F.col("_broken").isNull()).drop("_broken")
+    rows = rows.filter(F.col("r._broken").isNull()).select("r.*").drop("_broken")
     return rows.filter(F.col(order).isNotNull()).orderBy(order) if order in rows.columns else rows
 
 
@@ -128,8 +133,7 @@ def broken_json_lines(spark: SparkSession, path: str, schema: str = LOG) -> Data
     rows = _json_lines(spark, path, schema)
     if rows is None:
         return spark.createDataFrame([], "line string")
-    # the column alone cannot be asked for, so another is read with it
-    return rows.select(F.struct("*").alias("r")).select(F.col("r._broken").alias("line")).filter(F.col("line").isNotNull())
+    return rows.filter(F.col("r._broken").isNotNull()).select("line")
 
 
 def write_workbook(path: str, sheets: list[tuple[str, list[list]]]) -> None:
