@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.knn import nearest
@@ -16,13 +16,24 @@ from ledgerlens.llm.quality import text_quality, text_statistics
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.llm.tokens import token_counts
 from ledgerlens.llm.truncation import truncated, truncation_by_source
-from ledgerlens.runtime import read, stored
+from ledgerlens.runtime import WORD, read, stored
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(read(spark, d, "chunks"))
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces say put together again: of each cut chunk its words, by their hash, and whether every piece keeps to the limits."""
+    pieces = p1_pieces(spark, d).withColumn("w", F.regexp_extract_all("content", F.lit(f"({WORD})"), 1))
+    own = F.when(F.col("piece_index") == 0, F.col("w")).otherwise(F.slice("w", 51, F.greatest(F.size("w") - 50, F.lit(0))))
+    follows = Window.partitionBy("chunk_id").orderBy("piece_index")
+    shared = F.slice("w", 1, 50) == F.slice(F.lag("w").over(follows), -50, 50)
+    rows = pieces.withColumn("ok", (F.size("w") <= 500) & F.coalesce(shared, F.lit(True))).withColumn("own", own)
+    whole = rows.groupBy("chunk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_index", "own"))), lambda x: x["own"])).alias("all"), F.bool_and("ok").alias("limits_kept"))
+    return whole.select("chunk_id", F.size("all").alias("n_words"), F.md5(F.array_join("all", " ")).alias("words_md5"), "limits_kept")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(read(spark, d, "chunks")).select("chunk_id").distinct()
 
@@ -83,6 +94,16 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes, read(spark, d, "context_windows"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per window the documents that are placed, and how many containers hold too much and documents are split without need."""
+    windows = read(spark, d, "context_windows").select("window_id", "capacity_tokens").distinct()
+    placed = stored(p6_containers(spark, d), "containers").filter(F.col("container_id").isNotNull()).join(F.broadcast(windows), "window_id")
+    boxes = placed.groupBy("window_id", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("t")).groupBy("window_id").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    docs = placed.groupBy("window_id", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("t"), F.count("*").alias("parts"))
+    docs = docs.groupBy("window_id").agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("split_without_need"))
+    return docs.join(boxes, "window_id").select("window_id", "documents", "overfull", "split_without_need")
+
+
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_containers(spark, d), read(spark, d, "context_windows"))
 
@@ -92,6 +113,15 @@ def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(sizes, read(spark, d, "source_mix"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix how many documents are used too often, twice under one number, or for a source that is not theirs."""
+    caps = read(spark, d, "source_mix").groupBy("mix_id", "source").agg(F.min("max_repeats").alias("cap"))
+    drawn = stored(p7_selection(spark, d), "selection")
+    per = drawn.groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("repeat_no").alias("numbers"))
+    per = per.join(F.broadcast(caps), ["mix_id", "source"]).join(read(spark, d, "documents").select("doc_id", F.col("source").alias("own")), "doc_id")
+    return per.groupBy("mix_id").agg(F.count_if(F.col("n") > F.col("cap")).alias("overused"), F.count_if(F.col("n") > F.col("numbers")).alias("doubled"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("strays"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(stored(p7_selection(spark, d), "selection"), read(spark, d, "source_mix"))
 
@@ -106,7 +136,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_quality, p3_statistics, p4_found, p4_groups, p4_members, p5_found, p5_cleaned, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_by_source)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_nearest, p3_found, p3_quality, p3_statistics, p4_found, p4_groups, p4_members, p5_found, p5_cleaned, p6_containers, p6_check, p6_fill, p7_selection, p7_check, p7_shares, p8_found, p8_by_source)
 }
 
 _WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -116,19 +146,26 @@ _UNIT = f"""{_ONE}, used AS (SELECT chunk_id, chunk_index, list_transform(embedd
             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         unit AS (SELECT chunk_id, chunk_index, len(v) AS d, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM used)"""
 
-ORACLE: dict[str, str] = {
-    "p1_found": f"WITH {_ONE} SELECT chunk_id FROM one WHERE len(regexp_extract_all(content, '[^{_WHITE}]+')) > 500",
-    "p5_found": f"""
-        WITH {_ONE},
-        lines AS (SELECT chunk_id, filename, generate_subscripts(string_split(content, chr(10)), 1) AS line_no, unnest(string_split(content, chr(10))) AS line
+_REPEATED = f"""lines AS (SELECT chunk_id, filename, generate_subscripts(string_split(content, chr(10)), 1) AS line_no, unnest(string_split(content, chr(10))) AS line
                   FROM one WHERE filename IS NOT NULL),
         forms AS (SELECT chunk_id, filename, line_no,
                          lower(trim(regexp_replace(translate(line, '0123456789', ''), '[ \\t\\r\\x{{a0}}]+', ' ', 'g'), ' ')) AS form FROM lines),
         lettered AS (SELECT * FROM forms WHERE regexp_matches(form, '\\p{{L}}')),
         totals AS (SELECT filename, count(*) AS total FROM one GROUP BY filename),
-        counts AS (SELECT filename, form, count(DISTINCT chunk_id) AS n FROM lettered GROUP BY filename, form)
-        SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no
-        FROM lettered JOIN counts USING (filename, form) JOIN totals USING (filename) WHERE n >= 5 AND n >= 0.2 * total""",
+        counts AS (SELECT filename, form, count(DISTINCT chunk_id) AS n FROM lettered GROUP BY filename, form),
+        found AS (SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no
+        FROM lettered JOIN counts USING (filename, form) JOIN totals USING (filename) WHERE n >= 5 AND n >= 0.2 * total)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"WITH {_ONE} SELECT chunk_id FROM one WHERE len(regexp_extract_all(content, '[^{_WHITE}]+')) > 500",
+    "p1_rebuilt": f"WITH {_ONE}, w AS (SELECT chunk_id, regexp_extract_all(content, '[^{_WHITE}]+') AS w FROM one) SELECT chunk_id, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS words_md5, true AS limits_kept FROM w WHERE len(w) > 500",
+    "p5_found": f"WITH {_ONE}, {_REPEATED} SELECT chunk_id, line_no FROM found",
+    "p5_cleaned": f"""
+        WITH {_ONE}, {_REPEATED},
+        kept AS (SELECT l.chunk_id, string_agg(line, chr(10) ORDER BY l.line_no) FILTER (WHERE f.line_no IS NULL) AS text, count(f.line_no) AS n FROM lines l LEFT JOIN found f ON f.chunk_id = l.chunk_id AND f.line_no = l.line_no GROUP BY l.chunk_id)
+        SELECT chunk_id, CASE WHEN coalesce(n, 0) = 0 THEN content ELSE coalesce(text, '') END AS content, CAST(coalesce(n, 0) AS INTEGER) AS n_removed FROM one LEFT JOIN kept USING (chunk_id)""",
+    "p6_check": "SELECT window_id, count(*) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_without_need FROM (SELECT DISTINCT window_id FROM context_windows WHERE capacity_tokens > 0) w, documents WHERE length(text) > 0 GROUP BY window_id",
+    "p7_check": "SELECT DISTINCT mix_id, CAST(0 AS BIGINT) AS overused, CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS strays FROM source_mix m WHERE target_share > 0 AND coalesce(max_repeats, 1) > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND length(text) > 0)",
     "p2_found": f"""
         WITH {_UNIT},
         near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS cosine FROM unit a JOIN unit b ON a.d = b.d AND a.chunk_id <> b.chunk_id WHERE list_dot_product(a.u, b.u) >= 0.90),
