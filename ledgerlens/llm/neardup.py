@@ -171,7 +171,8 @@ def _meetings(keyed: DataFrame) -> DataFrame:
 
     A large bucket is cut into shares; each two shares (and each share with itself) meet under a key of their own.
     """
-    counted = keyed.withColumn("m", F.count("*").over(Window.partitionBy("band")))
+    # most buckets hold one id: what is left is a small table, from one pass over the sorted buckets
+    counted = stored(keyed.withColumn("m", F.count("*").over(Window.partitionBy("band"))).filter("m > 1"), "buckets")
     light = counted.filter(F.col("m") <= BUCKET_SHARE).select("id", "band")
     twin = light.select(F.col("id").alias("other"), "band")
     few = light.join(twin, "band").filter(F.col("id") < F.col("other")).select("id", "other")
