@@ -12,14 +12,17 @@ PATTERNS = {
     "period": "(Q[1-4] FY[0-9]{2}|Q[1-4] [0-9]{4}|(?:First|Second|Third|Fourth) Quarter [0-9]{4}|H[12] [0-9]{4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-[0-9]{2})",
     "amount": "([0-9][0-9.,]* (?:M EUR|k EUR|EUR/t|EUR|USD|MWh|kt|hours|points))",
 }
-#: Names of a dictionary that are broadcast at most; more are joined by shuffle.
-BROADCAST_NAMES = 500_000
+#: Names of a dictionary up to which runs of words are picked by its first words, and that are broadcast at most; more are joined by shuffle.
+SCANNED_NAMES, BROADCAST_NAMES = 5_000, 500_000
 
 
-def _runs(k: int) -> Column:
-    """All runs of k words of the array w."""
-    at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
+def _runs(longest: int, firsts: list[str] | None) -> Column:
+    """All runs of up to so many words of the array w that begin with one of ``firsts`` (or with any word)."""
+    at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+    if firsts is not None:
+        at = F.filter(at, lambda i: F.element_at("w", i).isin(firsts))
+    # runs over the end are shorter ones once more
+    return F.flatten(F.transform(at, lambda i: F.array(*[F.array_join(F.slice("w", i, F.lit(k)), " ") for k in range(1, longest + 1)])))
 
 
 def extract(texts: DataFrame, names: DataFrame, key: str = "chunk_id", text: str = "content", patterns: dict[str, str] | None = None) -> DataFrame:
@@ -34,10 +37,8 @@ def extract(texts: DataFrame, names: DataFrame, key: str = "chunk_id", text: str
     n, longest = known.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
     bare = F.transform(words(F.lower(F.col(text))), lambda x: F.trim(x, F.lit('.,;:!?"()')))
     rows = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, bare.alias("w"))
-    runs = [F.col("w")]
-    for k in range(2, longest + 1):
-        runs.append(_runs(k))
-    grams = rows.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
+    firsts = [r[0] for r in known.select(F.split("gram", " ")[0]).distinct().collect()] if n <= SCANNED_NAMES else None
+    grams = rows.select(key, F.explode(F.array_distinct(_runs(longest, firsts))).alias("gram"))
     known = known.drop("n")
     named = grams.join(F.broadcast(known) if n <= BROADCAST_NAMES else known, "gram").select(key, "kind", "entity").distinct()
     lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1)).alias("names")) for k, p in (patterns or PATTERNS).items()])

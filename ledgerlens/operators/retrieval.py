@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -165,21 +167,38 @@ def nearest_rows(df: DataFrame, vector: list[float], k: int = 5, key: str = "chu
     Keys and scores are ranked alone, without a shuffle; a few more than k are looked at until k are different. The
     whole rows of these few are read then.
     """
-    spark = df.sparkSession
-    narrow = df.filter(F.col(key).isNotNull()).select(key, column)
+    narrow = scores(df.filter(F.col(key).isNotNull()), vector, key, column)
     most, found = 2 * k, {}
     while True:
-        q = F.array(*[F.lit(float(x)) for x in vector])
-        scored = narrow.filter(usable(F.col(column))).select(key, F.round(cosine(F.col(column), q), 6).alias("score"))
-        top = scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(most).collect()  # a small multiple of k
+        top = narrow.orderBy(F.desc("score"), key).limit(most).collect()  # a small multiple of k
         found = dict((r[0], r[1]) for r in reversed(top))
         if len(found) >= k or len(top) < most:
             break
         most *= 4
     best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
-    scores = spark.createDataFrame(best, f"{key} {df.schema[key].dataType.simpleString()}, score double")
     rows = df.filter(F.col(key).isin([x for x, _ in best])).dropDuplicates([key])
-    return rows.join(F.broadcast(scores), key)
+    if not best:
+        return rows.withColumn("score", F.lit(None).cast("double"))
+    return rows.withColumn("score", F.create_map(*[F.lit(x) for pair in best for x in pair])[F.col(key)])
+
+
+def scores(df: DataFrame, vector: list[float], key: str, column: str) -> DataFrame:
+    """(key, score): the rounded cosine of every usable vector of the same length, in Arrow batches."""
+    q = np.asarray(vector, dtype=np.float64)
+    q = q / np.linalg.norm(q)
+    d = len(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            same = pc.fill_null(pc.equal(pc.list_value_length(v), d), False)
+            keys = batch.column(0).filter(same)
+            x = v.filter(same).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            x = x[good]
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), pa.array(np.round(x @ q / np.sqrt(np.einsum("nd,nd->n", x, x)), 6))], names=[key, "score"])
+
+    return df.select(key, column).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
 
 
 def batch_topk(base: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", column: str = "embedding", exclude_self: bool = True) -> DataFrame:

@@ -31,8 +31,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
 def values_at(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """(*by, n, one column per place): the values at these places (from 0, as columns of n) of each group's sorted values.
 
-    Values are counted, counts fall into CELLS cells of equal width, and running sums over the cells find the one that holds
-    a place. A cell with more than SORTED different values (far outliers leave all others in one) is cut
+    Values are counted; running sums over few different values find the one at a place. More counts fall into CELLS cells of equal width, and running sums over the cells find the one that holds
+    the place. A cell with more than SORTED different values (far outliers leave all others in one) is cut
     into cells again, between its own least and greatest value; running sums within the last cell find the value.
     """
     by = by or []
@@ -44,7 +44,7 @@ def values_at(df: DataFrame, value: str, places: dict[str, Column], by: list[str
     # for each group and name the stretch (lo, hi) that holds the place, and how many values come before it
     names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), p.cast("long").alias("place")) for k, p in places.items()])).alias("q")
     wanted = ends.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("before"), names).select(*keys, "lo", "hi", "before", "q.name", "q.place")
-    while True:
+    while counts.count() > SORTED:
         width = F.col("hi") - F.col("lo")
         cell = F.when(width > 0, F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * CELLS), F.lit(CELLS - 1))).otherwise(0)
         inside = counts.join(wanted, keys).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).withColumn("cell", cell)

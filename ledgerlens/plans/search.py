@@ -96,8 +96,15 @@ def cited_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def _first_vector(spark: SparkSession, d: str) -> list[float]:
     """The vector of the first chunk that has one; copies have the same, so none need be dropped."""
-    rows = read(spark, d, "chunks").select("chunk_id", "embedding").filter(F.col("chunk_id").isNotNull() & usable(F.col("embedding")))
-    return rows.orderBy("chunk_id").limit(1).first()[1]
+    rows, first = read(spark, d, "chunks").select("chunk_id", "embedding").filter(F.col("chunk_id").isNotNull() & (F.size("embedding") > 0)), 16
+    while True:  # the first few by id, more only if none of them will do
+        some = rows.orderBy("chunk_id").limit(first)
+        got = some.filter(usable(F.col("embedding"))).orderBy("chunk_id").limit(1).collect()
+        if got:
+            return got[0][1]
+        if some.count() < first:
+            raise ValueError("no chunk has a vector")
+        first *= 8
 
 
 @query(f"WITH {_S0} SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5", name="indexed_topk")

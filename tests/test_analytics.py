@@ -105,13 +105,16 @@ def test_written_workbooks_are_read(spark, tmp_path):
     assert [(r.sheet_number, r.content) for r in rows] == [(1, "## Sheet 1: A & B\n| x | y |\n|---|---|\n| 1 | <&> |\n|  |  2  |")]
 
 
-def test_entities_of_dictionaries_and_forms(spark):
+def test_entities_of_dictionaries_and_forms(spark, monkeypatch):
     from ledgerlens.operators import entities as E
 
     texts = spark.createDataFrame([("a", "Net  Debt of (Orrivik Lime), Q3 FY24: 12.5 M EUR; Third Quarter 2024"), ("b", None), ("c", ""), (None, "net debt"), ("d", "debt net lime")], "chunk_id string, content string")
     names = spark.createDataFrame([("metric", "net debt"), ("company", "Orrivik Lime"), ("company", None), ("company", " ")], "kind string, name string")
     got = {tuple(r) for r in E.extract(texts, names).collect()}
     assert got == {("a", "metric", "net debt"), ("a", "company", "Orrivik Lime"), ("a", "period", "Q3 FY24"), ("a", "period", "Third Quarter 2024"), ("a", "amount", "12.5 M EUR")}
+    for bound in ("SCANNED_NAMES", "BROADCAST_NAMES"):
+        monkeypatch.setattr(E, bound, 0)
+        assert {tuple(r) for r in E.extract(texts, names).collect()} == got
     assert {tuple(r) for r in E.extract(texts, names.limit(0)).collect()} == {x for x in got if x[1] in E.PATTERNS}
     assert [tuple(r) for r in E.co_mentions(E.extract(texts, names)).filter("a = 'Orrivik Lime'").collect()]
 
