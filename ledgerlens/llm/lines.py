@@ -11,7 +11,7 @@ MIN_CHUNKS, MIN_SHARE = 5, 0.2
 #: A source may hold a third of all rows; joins on the source are spread over this many keys.
 SALT = 16
 #: Buckets of the ledger's tables; loads kept apart before they are written as one; loads of a first filling.
-BUCKETS, MOST_LOADS, LOADS = 32, 8, 2
+BUCKETS, MOST_LOADS, LOADS = 16, 8, 2
 
 
 def compared_form(line: Column) -> Column:
@@ -98,7 +98,10 @@ class LineLedger:
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/{self.version}/{name}"
-        df.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(path)
+        df = df.withColumn("bucket", self._bucket())
+        if name != "keyed":  # a bucket's counts come to few tasks, spread by the rest of the key
+            df = df.repartition("bucket", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(4)))
+        df.write.partitionBy("bucket").parquet(path)
         return path
 
     def _keyed(self, paths: list[str], touched: list[int] | None = None) -> DataFrame:
