@@ -10,6 +10,8 @@ from ledgerlens.runtime import fresh_path, stored
 MIN_CHUNKS, MIN_SHARE = 5, 0.2
 #: A source may hold a third of all rows; joins on the source are spread over this many keys.
 SALT = 16
+#: Repeated lines of all sources are broadcast up to this many (8 bytes each), else joined by shuffle.
+BROADCAST_LINES = 2_000_000
 #: Buckets of the ledger's tables; loads kept apart before they are written as one; loads of a first filling.
 BUCKETS, MOST_LOADS, LOADS = 16, 8, 2
 
@@ -64,10 +66,19 @@ def crossed(counts: DataFrame, totals: DataFrame, min_chunks: int, min_share: fl
     return often.groupBy("source").agg(F.sort_array(F.collect_list("key")).alias("lines"))
 
 
+def with_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """rows (with chunk_id and source) joined to the lines of their source: by broadcast up to BROADCAST_LINES lines, beyond by a salted shuffle."""
+    n = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    if n <= BROADCAST_LINES:
+        return rows.join(F.broadcast(lines), "source", how)
+    spread = lines.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int"))
+    return salted.join(spread.hint("merge"), ["source", "salt"], how).drop("salt")
+
+
 def locate(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     """(chunk_id, source, line_no): where the given lines of each source stand; line_no counts from 1."""
-    spread = lines.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    hits = keyed.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int")).join(spread, ["source", "salt"])
+    hits = with_lines(keyed, lines, "inner")
     at = hits.select("chunk_id", "source", "lines", F.posexplode("keys").alias("pos", "key"))
     return at.filter(F.array_contains("lines", F.col("key"))).select("chunk_id", "source", (F.col("pos") + 1).alias("line_no"))
 

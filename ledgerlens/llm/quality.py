@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.lines import MIN_CHUNKS, MIN_SHARE, SALT, chunk_totals, count_delta, crossed
+from ledgerlens.llm.lines import MIN_CHUNKS, MIN_SHARE, chunk_totals, count_delta, crossed, with_lines
 from ledgerlens.llm.neardup import words_of
 from ledgerlens.runtime import stored
 
@@ -33,8 +33,6 @@ SAMPLE_ROWS = 8_192
 LEAST_LABELS, MARGIN = 3.0, 0.8
 #: Components with labelled rows of several classes are split and the fit goes on, so often and with so many rounds.
 SPLITS, SPLIT_ROUNDS = 3, 8
-#: Repeated lines of all files are broadcast up to this many (8 bytes each), else joined by shuffle.
-BROADCAST_LINES = 2_000_000
 FEATURES = ("words_per_unit", "word_length", "symbols", "digit_words", "common", "ends", "distinct", "markers", "cells", "wide_gaps", "long_words", "pairs", "letters", "items")
 COMMON = FEATURES.index("common")
 #: What is kept of a line; after these come the common words of each language.
@@ -400,12 +398,7 @@ def text_statistics(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
 def _returning(lined: DataFrame, everywhere: DataFrame) -> DataFrame:
     """lined with ``gone``: for each line whether it returns through the chunk's file. ``everywhere``: chunks per source."""
     repeated = stored(crossed(count_delta(lined.filter(F.col("source").isNotNull())), everywhere, MIN_CHUNKS, MIN_SHARE), "repeated")
-    n = repeated.agg(F.sum(F.size("lines"))).first()[0] or 0
-    if n <= BROADCAST_LINES:
-        rows = lined.join(F.broadcast(repeated), "source", "left")
-    else:
-        spread = repeated.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-        rows = lined.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int")).join(spread, ["source", "salt"], "left")
+    rows = with_lines(lined, repeated, "left")
     return rows.withColumn("gone", F.transform("keys", lambda k: F.coalesce(F.array_contains("lines", k), F.lit(False))))
 
 

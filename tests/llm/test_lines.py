@@ -36,10 +36,12 @@ def corpus(n=80, seed=3):
     return rows + [("n1", None, "file0", None), ("n2", None, "file0", None), ("c1", rows[1][1], "file1", None), (None, "Page 1", "file0", None), ("q", "Page 1", None, None)]
 
 
-def test_like_brute_force(chunks_of):
+def test_like_brute_force(chunks_of, monkeypatch):
     rows = corpus()
     got = {tuple(r) for r in repeated_lines(chunks_of(rows)).collect()}
     assert got and got == brute(rows)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    assert {tuple(r) for r in repeated_lines(chunks_of(rows)).collect()} == got
 
 
 def test_deltas_end_where_one_load_does(spark, chunks_of):
