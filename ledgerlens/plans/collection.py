@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +55,12 @@ def sheet_markdown(spark: SparkSession, d: str) -> DataFrame:
     region, nation = read(spark, d, "region").orderBy("r_regionkey"), read(spark, d, "nation").orderBy("n_nationkey")
     # the tables of regions and nations do not grow with the data
     sheets = [("region", region.select("r_regionkey", "r_name")), ("empty", nation.select("n_name").limit(0)), ("nation", nation.select("n_nationkey", "n_name", "n_regionkey"))]
-    with tempfile.TemporaryDirectory() as folder:
-        write_workbook(f"{folder}/book.xlsx", [(name, [df.columns, *map(list, df.collect())]) for name, df in sheets])
-        with open(f"{folder}/book.xlsx", "rb") as f:
-            data = bytearray(f.read())
+    data = io.BytesIO()
+    write_workbook(data, [(name, [df.columns, *map(list, df.collect())]) for name, df in sheets])
     path = fresh_path(spark, "books")
     at, fs = filesystem(spark, f"{path}/book.xlsx")
     out = fs.create(at)
-    out.write(data)
+    out.write(bytearray(data.getvalue()))
     out.close()
     blocks = read_workbooks(spark, path).groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("sheet_number", "content"))).alias("b"))
     return blocks.select(F.array_join(F.transform("b", lambda x: x["content"]), "\n\n").alias("content"), F.size("b").alias("page_count"))

@@ -136,7 +136,7 @@ def broken_json_lines(spark: SparkSession, path: str, schema: str = LOG) -> Data
     return rows.filter(F.col("r._broken").isNotNull()).select("line")
 
 
-def write_workbook(path: str, sheets: list[tuple[str, list[list]]]) -> None:
+def write_workbook(path: str | io.BytesIO, sheets: list[tuple[str, list[list]]]) -> None:
     """An xlsx workbook of (name, rows) with texts and numbers: a file of the size a reader opens."""
     from xml.sax.saxutils import escape, quoteattr
 
