@@ -301,8 +301,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """The running accuracy of each category after the last micro-batch."""
     schema = spark.read.parquet(f"{d}/eval_results.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "eval_results.parquet").parquet(d)
-    results = source.filter("category IS NOT NULL").select("category", F.col("retrieval.pass_").alias("passed"))
+    results = T.table_stream(spark, d, "eval_results", schema).filter("category IS NOT NULL").select("category", F.col("retrieval.pass_").alias("passed"))
     return T.latest_per_batch(T.running_accuracy(results), "category", "accuracy").withColumn("accuracy", F.round("accuracy", 6))
 
 

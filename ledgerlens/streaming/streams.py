@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.retrieval import store_points
-from ledgerlens.runtime import fresh_path
+from ledgerlens.runtime import filesystem, fresh_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -17,6 +17,15 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, d: str, table: str, schema) -> DataFrame:
+    """A table as a stream, be it one file or a folder of part files: a filter of names sees the parts, not their folder."""
+    path, source = f"{d}/{table}.parquet", spark.readStream.schema(schema)
+    at, fs = filesystem(spark, path)
+    if fs.getFileStatus(at).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{table}.parquet").parquet(d)
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run the stream over what is there into a table in the shared folder, and read it."""
     spark = stream.sparkSession

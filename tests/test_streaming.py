@@ -49,6 +49,15 @@ def test_running_accuracy_keeps_its_state(spark, tmp_path):
     assert seen == {"a": (4, 3, 75.0), "b": (1, 0, 0.0)}
 
 
+def test_accuracy_of_a_folder_of_part_files(spark, data, tmp_path):
+    from ledgerlens.plans.analytics import stream_accuracy
+
+    read(spark, data, "eval_results").repartition(3).write.parquet(str(tmp_path / "eval_results.parquet"))
+    assert len(list(tmp_path.glob("eval_results.parquet/part-*.parquet"))) == 3
+    want, got = (sorted(tuple(r) for r in stream_accuracy(spark, d).collect()) for d in (data, str(tmp_path)))
+    assert want and got == want
+
+
 def test_sliding_windows_and_sessions_as_streams(spark, data):
     events = read(spark, data, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for kind in (S.sliding, S.sessions):
